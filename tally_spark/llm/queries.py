@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_pii, op04_quality, op05_packing, op06_decontaminate, op08_exact_dedup, op09_warc
+from . import op02_pii, op03_lm_score, op04_quality, op05_packing, op06_decontaminate, op08_exact_dedup, op09_warc, op10_substring_dedup
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_pii.redact(table(spark, sf_dir, "documents"))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = op04_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(F.col("_id").alias("doc_id"), op04_quality.held_out("_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
@@ -34,11 +38,24 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_warc.round_trip(table(spark, sf_dir, "pages"), spark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_spans, op4_quality_qda, op5_packing, op6_decontaminate, op8_exact_dedup, op9_warc_round_trip)}
+def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_pii_spans, op3_deleted_interpolation, op4_quality_qda, op5_packing, op6_decontaminate, op8_exact_dedup, op9_warc_round_trip, op10_debruijn_dedup)}
 
 _TEXTS = "SELECT doc_id, COALESCE(text, '') AS text, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents"
 
 ORACLES = {
+    "op10_debruijn_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+     later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+     cut AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)""",
     "op6_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
      b AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
