@@ -47,12 +47,13 @@ def record_types(pages: DataFrame) -> DataFrame:
     Groups of equal payloads meet as one row for each page identifier only; the html is joined by identifier and digest,
     so that no task holds the pages of a group.
     """
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select("*", F.sha1("html").alias("_sha"), F.octet_length("html").cast("long").alias("_bytes"))
-    slim = own.groupBy("_sha", "_bytes", "page_id").agg(F.count(F.lit(1)).alias("_same"))
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select("*", F.sha1("html").alias("_sha"), F.octet_length("html").cast("long").alias("_bytes"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key"))
+    slim = own.groupBy("_sha", "_bytes", "page_id", "_key").agg(F.count(F.lit(1)).alias("_same"))
     first = slim.groupBy("_sha", "_bytes").agg(F.max("page_id").alias("_first"))
-    decided = slim.join(first, ["_sha", "_bytes"]).select(F.col("_sha").alias("_d_sha"), F.col("page_id").alias("_d_id"), "_first")
-    joined = own.join(decided, (F.col("_sha") == F.col("_d_sha")) & F.col("page_id").eqNullSafe(F.col("_d_id")))
-    copy = F.row_number().over(Window.partitionBy("_sha", "page_id").orderBy("url"))
+    decided = slim.join(first, ["_sha", "_bytes"]).select("_sha", "_key", "_first")
+    joined = own.join(decided, ["_sha", "_key"])
+    # by the join's key: the html is shuffled once
+    copy = F.row_number().over(Window.partitionBy("_sha", "_key").orderBy("url"))
     response = (F.col("_bytes") < MIN_REVISIT) | (F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("_copy") == 1))
     return joined.withColumn("_copy", copy).select("page_id", "url", "html", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("_first")).alias("refers_to"))
 
