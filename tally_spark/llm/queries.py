@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_pii, op03_lm_score, op04_quality, op05_packing, op06_decontaminate, op08_exact_dedup, op09_warc, op10_substring_dedup
+from . import op02_pii, op03_lm_score, op04_quality, op05_packing, op06_decontaminate, op07_near_dedup, op08_exact_dedup, op09_warc, op10_substring_dedup
 from .shared import table
 
 
@@ -30,6 +30,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_spans, op3_deleted_interpolation, op4_quality_qda, op5_packing, op6_decontaminate, op8_exact_dedup, op9_warc_round_trip, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pii_spans, op3_deleted_interpolation, op4_quality_qda, op5_packing, op6_decontaminate, op7_probminhash, op8_exact_dedup, op9_warc_round_trip, op10_debruijn_dedup)}
 
 _TEXTS = "SELECT doc_id, COALESCE(text, '') AS text, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents"
 
