@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_pii, op03_lm_score, op04_quality, op05_packing, op06_decontaminate, op07_near_dedup, op08_exact_dedup, op09_warc, op10_substring_dedup
+from . import op01_line_dedup, op02_pii, op03_lm_score, op04_quality, op05_packing, op06_decontaminate, op07_near_dedup, op08_exact_dedup, op09_warc, op10_substring_dedup
 from .shared import table
 
 
+def op1_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_pii.redact(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_spans, op3_deleted_interpolation, op4_quality_qda, op5_packing, op6_decontaminate, op7_probminhash, op8_exact_dedup, op9_warc_round_trip, op10_debruijn_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_chunk_dedup, op2_pii_spans, op3_deleted_interpolation, op4_quality_qda, op5_packing, op6_decontaminate, op7_probminhash, op8_exact_dedup, op9_warc_round_trip, op10_debruijn_dedup)}
 
 _TEXTS = "SELECT doc_id, COALESCE(text, '') AS text, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents"
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -33,7 +35,12 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # this job's shuffle files go when it is done, not when the driver collects its garbage
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
