@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from . import words as W
+from .shared import saved
 
 MODULUS, HELD_OUT, DELETED = 7, 2, 3
 END, START = np.uint64(0x5BD1E995A1B2C3D5), np.uint64(0x2545F4914F6CDD1D)
@@ -34,7 +35,7 @@ BUCKETS, LOW, LEVELS = 16, -12.0, 130
 ROUNDS = 100
 #: Rows of all buckets' weights that a bucket starts with, and the least weight.
 PRIOR_ROWS, LEAST = 20.0, 1e-5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def remainder(doc_id: int | None) -> int:
@@ -154,7 +155,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(count, pa.int64())], ["code", "n"])
 
     # at most BUCKETS * LEVELS ** 2 rows
-    table = {r.code: r.n for r in counted.mapInArrow(deleted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    histogram = saved(counted.mapInArrow(deleted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "histogram")
+    table = {r.code: r.n for r in histogram.collect()}
     weights = learn_weights(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

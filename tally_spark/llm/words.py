@@ -11,7 +11,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 LENGTH_SALT = np.uint64(0xD6E8FEB86659FD93)
 #: Text bytes handled at once. numpy needs about forty bytes of memory for each.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -35,7 +35,7 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
         found = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         found[0] = 1
         np.multiply.accumulate(found, out=found)
-        if len(found) <= 2 * PIECE_BYTES:
+        if len(found) <= 4 * PIECE_BYTES:
             _powers[base] = found
     return found[:n]
 
