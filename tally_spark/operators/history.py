@@ -98,15 +98,15 @@ class Run:
 
 
 class History:
-    """Runs under a folder: run=N/breaks (Parquet) and run=N/_run.json, which is the marker."""
+    """Runs under a folder: run=N/breaks (Parquet) and run=N/run.json, which is the marker."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._at = jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if self._fs.exists(self._at(f"{self.path}/_version")):
-            text = self._read(f"{self.path}/_version").strip()
+        if self._fs.exists(self._at(f"{self.path}/VERSION")):
+            text = self._read(f"{self.path}/VERSION").strip()
             if not text.isdigit():
                 raise HistoryError(f"{path} isn't a run history")
             if int(text) > VERSION:
@@ -127,7 +127,7 @@ class History:
             raise HistoryError(f"{path} can't be written")
 
     def runs(self) -> list[Run]:
-        found = self._fs.globStatus(self._at(f"{self.path}/run=*/_run.json")) or []
+        found = self._fs.globStatus(self._at(f"{self.path}/run=*/run.json")) or []
         return sorted((Run(**json.loads(self._read(x.getPath().toString()))) for x in found), key=lambda r: r.number)
 
     def breaks(self, number: int) -> DataFrame:
@@ -141,9 +141,9 @@ class History:
         previous = runs[-1] if runs else None
         run.number = previous.number + 1 if previous else 1
         if not previous:
-            self._write(f"{self.path}/_version", str(VERSION))
+            self._write(f"{self.path}/VERSION", str(VERSION))
         at = f"{self.path}/run={run.number}"
         # what an earlier attempt left without a marker goes
         entries(keyed, self.breaks(previous.number) if previous else None, run.number).write.mode("overwrite").parquet(f"{at}/breaks")
-        self._write(f"{at}/_run.json", json.dumps(run.__dict__))
+        self._write(f"{at}/run.json", json.dumps(run.__dict__))
         return run, previous, False

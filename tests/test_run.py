@@ -100,9 +100,9 @@ def test_history(spark, tmp_path):
     (tmp_path / "other" / "x").write_text("x")
     with pytest.raises(HistoryError):
         history.History(spark, f"file://{tmp_path}/other")
-    (tmp_path / "h" / "_version").unlink()
-    (tmp_path / "h" / "._version.crc").unlink(missing_ok=True)
-    (tmp_path / "h" / "_version").write_text("99")
+    (tmp_path / "h" / "VERSION").unlink()
+    (tmp_path / "h" / ".VERSION.crc").unlink(missing_ok=True)
+    (tmp_path / "h" / "VERSION").write_text("99")
     with pytest.raises(HistoryError, match="newer"):
         history.History(spark, db)
 
