@@ -151,14 +151,19 @@ def match_splits(ledger: DataFrame, warehouse: DataFrame, settings: Settings) ->
 
 
 def match_rows(ledger: DataFrame, warehouse: DataFrame, settings: Settings, keep=lambda df, name: df.cache()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All members, and what is left of each side. keep stores a stage's result."""
+    """All members, and what is left of each side. keep stores a stage's result; both sides' leftovers are stored together."""
+
+    def left(l: DataFrame, w: DataFrame, taken: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        both = l.select(*ROW).unionByName(w.select(*ROW)).join(taken.select("source", "row_number"), ["source", "row_number"], "left_anti").select(*ROW)
+        both = keep(both, name)
+        return both.filter("source = 'ledger'"), both.filter("source = 'warehouse'")
+
     exact = keep(match_exact(ledger, warehouse), "exact")
-    l1, w1 = keep(unmatched(ledger, exact, "ledger"), "left-l1"), keep(unmatched(warehouse, exact, "warehouse"), "left-w1")
+    l1, w1 = left(ledger, warehouse, exact, "left-1")
     composite = keep(match_composite(l1, w1, settings), "composite")
-    l2, w2 = keep(unmatched(l1, composite, "ledger"), "left-l2"), keep(unmatched(w1, composite, "warehouse"), "left-w2")
+    l2, w2 = left(l1, w1, composite, "left-2")
     split = keep(match_splits(l2, w2, settings), "split")
-    members = exact.unionByName(composite).unionByName(split)
-    return members, unmatched(l2, split, "ledger"), unmatched(w2, split, "warehouse")
+    return exact.unionByName(composite).unionByName(split), *left(l2, w2, split, "left-3")
 
 
 def matches(members: DataFrame) -> DataFrame:

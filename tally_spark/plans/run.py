@@ -86,7 +86,6 @@ def reconcile(ledger: DataFrame, warehouse: DataFrame, settings: Settings | None
     settings, began, started = settings or Settings(), time.time(), datetime.now(UTC).isoformat(timespec="seconds")
     inputs = inputs or {"ledger": {"path": None, "digest": csv.digest_rows(ledger)}, "warehouse": {"path": None, "digest": csv.digest_rows(warehouse)}}
     members, left_l, left_w = matching.match_rows(ledger, warehouse, settings, stored)
-    members, left_l, left_w = stored(members, "members"), stored(left_l, "left-l"), stored(left_w, "left-w")
     context = checks.Context(ledger, warehouse, members, left_l, left_w, stored(matching.matches(members), "matches"), settings, *types)
     found = stored(breaks.identified(checks.run_checks(context)), "breaks")
     effects = stored(attribution.row_effects(found, members, context.matches, left_l, left_w), "effects")

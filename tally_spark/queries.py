@@ -37,7 +37,7 @@ def _context(spark: SparkSession, sf_dir: str, day: str = "") -> checks.Context:
     def make() -> checks.Context:
         s = _sides(spark, sf_dir)
         ledger, warehouse = s["ledger" + day], s["warehouse" + day]
-        members, l, w = (stored(x, n) for x, n in zip(matching.match_rows(ledger, warehouse, SETTINGS, stored), ("members", "l", "w"), strict=True))
+        members, l, w = matching.match_rows(ledger, warehouse, SETTINGS, stored)
         return checks.Context(ledger, warehouse, members, l, w, stored(matching.matches(members), "matches"), SETTINGS, TYPES, TYPES | ({"batch_id": "string"} if day else {}))
 
     return _once("context" + day, spark, sf_dir, make)
