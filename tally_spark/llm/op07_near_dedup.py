@@ -7,11 +7,14 @@
    next arrival is later than all components of its document. Equal components estimate the probability Jaccard
    similarity, which for equal weights is the Jaccard similarity.
 3. Bands of ROWS components are the candidate search: representatives that agree in a band share a bucket.
-4. Buckets are never expanded into pairs. In each round the PIVOTS smallest members of a bucket are compared with the
-   others, exactly, on the texts. Similarity is a metric (1 - similarity obeys the triangle inequality), so a member that
-   is close to a pivot can be left out of the bucket without losing a link, if all members that are not linked to that
-   pivot are further from it than the member's distance plus the threshold's. Pivots leave; the others meet again in the
-   next round, with new pivots, until no bucket has two members. What is lost is only what no band found.
+4. Buckets are never expanded into pairs. In each round some members of a bucket, the pivots, are compared with the others,
+   exactly, on the texts; then the linked ones are joined to classes. Only members of different classes are compared, and
+   a bucket whose members are all of one class is done, since more links in it would change nothing. Pivots are taken
+   from the smallest classes first, so that a few outliers in a large group cost one comparison for each member.
+   Similarity is a metric (1 - similarity obeys the triangle inequality), so a member that is linked to a pivot is left
+   out, too, if all members that are not linked to that pivot are further from it than the member's distance plus the
+   threshold's. Pivots leave; the others meet again in the next round, with new pivots (more for each, the fewer members
+   are left; a round's pairs stay linear). What is lost is only what no band found.
 5. Linked representatives are joined to classes by minimum label with pointer jumping.
 
 The link test takes the larger of the probability Jaccard similarity and the Jaccard similarity of the shingle sets, so a
@@ -178,25 +181,43 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, prob double, jac double")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, rep) of buckets that still hold several classes, with label and size, how many of the bucket's members have it. labels: node, label."""
+    own = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    own = saved(own, "labelled")
+    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
+    # stored, so that the join has a shuffle of its own on both sides and can be split where a bucket is large
+    kept = saved(sizes.join(several, "bucket", "left_semi"), "sizes")
+    return saved(own.join(kept, ["bucket", "label"]).select("bucket", "rep", "label", "size"), "buckets")
+
+
 def links(reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS) -> DataFrame:
     """a and b of links between representatives (rep, text) that keep all classes together."""
     members = saved(_bands(reps, bands, rows), "bands")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    members = saved(members.join(crowded, "bucket"), "buckets")
+    # stored, here and below: a join with a shuffle of its own on both sides can be split where a bucket is large
+    members = saved(members.join(saved(crowded, "crowded"), "bucket").select("bucket", "rep", F.col("rep").alias("label"), F.lit(1).cast("long").alias("size")), "buckets")
     texts = saved(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "text"), "texts")
     found = None
     far = 1 - threshold
-    while members.limit(1).count():
+    bound = texts.count()
+    while n := members.count():
+        # the fewer members are left, the more pivots: a round compares PIVOTS for each member, or as many pairs as there are representatives
+        most = max(pivots, bound // n)
         # Spark keeps the first rows of each group before it shuffles them
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        chosen = saved(members.withColumn("_nth", order).filter(F.col("_nth") <= pivots).select(F.col("bucket").alias("_b"), F.col("rep").alias("_pivot")), "pivots")
-        met = saved(members.join(chosen, F.col("bucket") == F.col("_b")).filter("rep > _pivot").select("bucket", "_pivot", "rep"), "met")
-        sims = saved(_compared(met.select(F.col("_pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts), "compared")
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", "rep"))
+        chosen = saved(members.withColumn("_nth", order).filter(F.col("_nth") <= most).select(F.col("bucket").alias("_b"), F.col("rep").alias("_pivot"), F.col("label").alias("_label")), "pivots")
+        met = saved(members.join(chosen, F.col("bucket") == F.col("_b")).filter("label <> _label").select("bucket", "_pivot", "rep"), "met")
+        pair = met.select(F.least("_pivot", "rep").alias("a"), F.greatest("_pivot", "rep").alias("b")).distinct()
+        sims = saved(_compared(pair, texts), "compared")
         linked = sims.filter((F.col("prob") >= threshold) | (F.col("jac") >= threshold)).select("a", "b")
         found = linked if found is None else found.unionByName(linked)
-        left = met.join(chosen.select(F.col("_b").alias("bucket"), F.col("_pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        near = saved(left.join(sims, (F.col("_pivot") == F.col("a")) & (F.col("rep") == F.col("b"))).select("bucket", "_pivot", "rep", "prob", "jac"), "near")
+        left = saved(members.join(chosen.select(F.col("_b").alias("bucket"), F.col("_pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep"), "left")
+        near = met.join(left, ["bucket", "rep"], "left_semi").join(sims, (F.least("_pivot", "rep") == F.col("a")) & (F.greatest("_pivot", "rep") == F.col("b"))).select("bucket", "_pivot", "rep", "prob", "jac")
+        near = saved(near, "near")
         apart = near.filter((F.col("prob") < threshold) & (F.col("jac") < threshold)).groupBy("bucket", "_pivot").agg((1 - F.max("prob")).alias("_prob"), (1 - F.max("jac")).alias("_jac"))
+        apart = saved(apart, "apart")
         # out: linked to a pivot from which all that aren't linked to it are too far away for a link
         spared = (
             near.join(apart.withColumnsRenamed({"bucket": "_b", "_pivot": "_p"}), (F.col("bucket") == F.col("_b")) & (F.col("_pivot") == F.col("_p")), "left")
@@ -205,9 +226,7 @@ def links(reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, row
             .select("bucket", "rep")
             .distinct()
         )
-        rest = left.select("bucket", "rep").distinct().join(spared, ["bucket", "rep"], "left_anti")
-        more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-        members = saved(rest.join(more, "bucket", "left_semi"), "buckets")
+        members = _open(left.join(spared, ["bucket", "rep"], "left_anti"), classes(found))
     return found if found is not None else texts.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
 
