@@ -84,10 +84,12 @@ def removed_chunks(numbered: DataFrame) -> DataFrame:
     """row, line and lines of each occurrence that isn't its chunk's first. numbered: _id, _row, _text."""
     found = occurrences(numbered.select("_id", "_row", "_text"))
     frequent = found.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hash")
+    # stored, here and below: a join with a shuffle of its own on both sides can be split where a chunk is very frequent
+    frequent = saved(frequent, "frequent")
     again = saved(found.join(frequent, "hash"), "lines")
     place = F.struct("id", "row", "line")
     first = again.groupBy("hash", "body").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return again.join(first, ["hash", "body"]).filter(~place.eqNullSafe(F.col("_first"))).select("row", "line", "lines")
+    return again.join(saved(first, "first"), ["hash", "body"]).filter(~place.eqNullSafe(F.col("_first"))).select("row", "line", "lines")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

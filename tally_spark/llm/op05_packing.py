@@ -29,7 +29,7 @@ from .shared import saved
 
 MAX_LEN, END_ID = 2048, 1
 #: Distinct parts that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 LIMIT = 0x250
 

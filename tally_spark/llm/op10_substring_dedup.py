@@ -211,6 +211,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks, found = paths(docs, id_col, text_col, span)
     place = F.struct("id", "chunk", "row", "start")
     first = found.groupBy("digest").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("digest").alias("_digest"), "_first")
+    # stored, so that the join has a shuffle of its own on both sides, which adaptive execution can split where a passage is very frequent
+    first = saved(first, "first")
     later = found.join(first, F.col("digest") == F.col("_digest")).filter(~place.eqNullSafe(F.col("_first")))
     gone = later.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "windows")).alias("gone"))
 
