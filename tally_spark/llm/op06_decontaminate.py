@@ -96,5 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that share no window with an item."""
-    bad = contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad_id"))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")), "left_anti")
+    # by digest of the text, since identifiers may be null or repeated
+    marked = docs.withColumn("_own_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+    bad = contamination(marked, items, "_own_sha", text_col).filter("contaminated").select(F.col("_own_sha").alias("_bad_sha")).distinct()
+    return marked.join(bad, F.col("_own_sha") == F.col("_bad_sha"), "left_anti").drop("_own_sha")

@@ -21,9 +21,9 @@ The link test takes the larger of the probability Jaccard similarity and the Jac
 pair counts if either definition has it. For the pruning in 4 each is checked by itself.
 
 Defined results: null text is empty; documents without words form one class; a document of fewer than SHINGLE words has
-its whole text as one shingle. A null identifier is smaller than any other. Of repeated rows (same identifier, same words)
-one is kept. An empty table gives an empty result. Other columns aren't read. The kept document of a class is the one
-with the smallest identifier. Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
+its whole text as one shingle. A null identifier is smaller than any other. Identifiers may be null or repeated: rows are
+told apart by identifier and text digest. Of each class one row is kept, the one with the smallest identifier, then
+digest. An empty table gives an empty result. Other columns aren't read. Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -124,8 +124,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(np.minimum((p / total).sum(), 1.0)), len(both) / union
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+
+
 def _represent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _sha (of the word sequence), _bytes of text, for each row."""
+    """_id, _digest (of the text) and _sha (of the word sequence) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "_text"):
@@ -137,10 +141,10 @@ def _represent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out[W.NOT_ALNUM[low]] = 0x20
             raw, first = out.tobytes(), W.bounds(text_of, len(at) - 1)
             shas = [hashlib.blake2b(b" ".join(raw[starts[f] : ends[z - 1]].split()) if z > f else b"", digest_size=16).digest() for f, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shas, pa.binary())], ["_id", "_sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.binary())], ["_id", "_digest", "_sha"])
 
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return own.mapInArrow(run, "_id long, _sha binary")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), _digest(text_col).alias("_digest"))
+    return own.mapInArrow(run, "_id long, _digest binary, _sha binary")
 
 
 def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -245,22 +249,36 @@ def classes(edges: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("_new").alias("label"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: id, rep_id (smallest identifier of those with equal words), class_id (smallest of the class), kept."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """One row for each document: _id, _digest, _rep (_id and _digest of the first of those with equal words), _first (of its class), _nth of equal rows."""
     rows = saved(_represent(docs, id_col, text_col), "wordings")
-    best = rows.groupBy("_sha").agg(F.min("_id").alias("rep"))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    # representatives are found by identifier; repeated rows with one identifier may differ in text
-    wanted = best.filter("rep IS NOT NULL").select("rep").distinct()
-    reps = own.join(wanted, F.col("_id") == F.col("rep"), "left_semi").select(F.col("_id").alias("rep"), "text")
-    found = classes(links(reps, threshold))
-    group = best.join(found, F.col("rep") == F.col("node"), "left").select("_sha", "rep", F.coalesce("label", "rep").alias("class_id"))
-    counted = rows.groupBy("_sha", "_id").agg(F.count(F.lit(1)).alias("_same"))
-    joined = counted.join(group, "_sha").select("*", F.explode(F.sequence(F.lit(1), F.col("_same").cast("int"))).alias("_nth"))
-    return joined.select(F.col("_id").alias(id_col), F.col("rep").alias("rep_id"), "class_id", (F.col("_id").eqNullSafe(F.col("class_id")) & (F.col("_nth") == 1)).alias("kept"))
+    # a wording is named by a number of its own, stored: identifiers may be null or repeated
+    best = saved(rows.groupBy("_sha").agg(F.min(F.struct("_id", "_digest")).alias("_rep")).withColumn("rep", F.monotonically_increasing_id()), "best")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_own"), _digest(text_col).alias("_text_digest"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    found = own.join(best.select("rep", "_rep"), (F.col("_text_digest") == F.col("_rep._digest")) & F.col("_own").eqNullSafe(F.col("_rep._id")))
+    # repeated rows, of one text: one is enough
+    reps = found.select("rep", "text").dropDuplicates(["rep"])
+    grouped = best.join(classes(links(reps, threshold)), F.col("rep") == F.col("node"), "left").select("_sha", "_rep", F.coalesce("label", "rep").alias("label"))
+    grouped = saved(grouped, "grouped")
+    first = grouped.groupBy("label").agg(F.min("_rep").alias("_first"))
+    group = grouped.join(first, "label").select("_sha", "_rep", "_first")
+    counted = rows.groupBy("_sha", "_id", "_digest").agg(F.count(F.lit(1)).alias("_same"))
+    return counted.join(group, "_sha").select("*", F.explode(F.sequence(F.lit(1), F.col("_same").cast("int"))).alias("_nth"))
+
+
+def _is_first() -> Column:
+    return F.struct("_id", "_digest").eqNullSafe(F.col("_first")) & (F.col("_nth") == 1)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document: id, rep_id (smallest identifier of those with equal words), class_id (smallest of the class), kept (exactly one row of each class)."""
+    joined = _grouped(docs, id_col, text_col, threshold)
+    return joined.select(F.col("_id").alias(id_col), F.col("_rep._id").alias("rep_id"), F.col("_first._id").alias("class_id"), _is_first().alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each class."""
-    kept = near_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    kept = _grouped(docs, id_col, text_col, THRESHOLD).filter(_is_first()).select(F.col("_id").alias("_kept_id"), F.col("_digest").alias("_kept_digest"))
+    marked = docs.withColumn("_own_digest", _digest(text_col))
+    found = marked.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest")), "left_semi")
+    return found.dropDuplicates([id_col, "_own_digest"]).drop("_own_digest")

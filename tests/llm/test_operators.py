@@ -227,6 +227,37 @@ def test_near_dedup(docs, none):
     assert op07_near_dedup.drop_near_copies(docs).columns == docs.columns
 
 
+#: Null and repeated identifiers of different texts: 0-2 near copies, 3 and 4 alone; 5 and 6 near copies under one identifier; 7 a copy of 3.
+_LONG = [f"u{i}" for i in range(80)]
+UNNAMED = [
+    (None, " ".join(_LONG)), (None, " ".join([*_LONG[:-1], "other"])), (None, " ".join(["first", *_LONG[1:]])), (None, "one text of its own without a name"), (None, "another text that has no name either"),
+    (70, " ".join(w + "v" for w in _LONG)), (70, " ".join([w + "v" for w in _LONG[:-1]] + ["other"])), (None, "one text of its own without a name"), (70, "quite another text under the same number"), (71, " ".join([*_LONG[:40], "put", *_LONG[40:]])),
+]
+
+
+def test_near_dedup_of_null_and_repeated_identifiers(spark):
+    """One row is kept of each class that the plain version finds on numbered rows."""
+    docs = rows(spark, UNNAMED)
+    classes = {}
+    for number, c in enumerate(brute.near_classes([(n, t) for n, (_, t) in enumerate(UNNAMED)])):
+        classes.setdefault(c, []).append(UNNAMED[number])
+    assert len(classes) == 5
+    found = op07_near_dedup.near_groups(docs).collect()
+    least = {d: min((i for i, _ in own), key=brute.order) for own in classes.values() for d in own}
+    same(((r.doc_id, r.class_id) for r in found), ((i, least[i, t]) for i, t in UNNAMED))
+    kept = [(r.doc_id, r.text) for r in op07_near_dedup.drop_near_copies(docs).collect()]
+    assert len(kept) == sum(r.kept for r in found) == len(classes)
+    for own in classes.values():
+        assert [d[0] for d in kept if d in own] == [min((i for i, _ in own), key=brute.order)]
+
+
+def test_decontamination_of_null_and_repeated_identifiers(spark):
+    items = [(1, "one text of its own without a name"), (2, " ".join(w + "v" for w in _LONG[-10:]))]
+    bad = [x[5] for x in brute.contaminated(UNNAMED, items)]
+    clean = op06_decontaminate.drop_contaminated(rows(spark, UNNAMED), spark.createDataFrame(items, "item_id long, text string"))
+    same(((r.doc_id, r.text) for r in clean.collect()), (d for d, b in zip(UNNAMED, bad, strict=True) if not b))
+
+
 def test_near_dedup_keeps_links_whatever_the_pivots(spark):
     """Chains of texts, each close to the next only, and more of them than pivots."""
     words = [f"c{j}" for j in range(100)]
