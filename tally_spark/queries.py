@@ -307,6 +307,23 @@ def history_age(spark, sf_dir):
     return ages.withColumn("since", F.col("since").cast("bigint"))
 
 
+# The three above have SQL and are of the daily breaks that it holds; these are of all types.
+
+
+def history_diff_all(spark, sf_dir):
+    return history.difference(*_two_runs(spark, sf_dir), 2).select("break_key", "state", "type", "magnitude_cents")
+
+
+def history_streaks_all(spark, sf_dir):
+    two, _ = _two_runs(spark, sf_dir)
+    return history.entries(_keyed(spark, sf_dir), two, 3).select("break_key", F.col("first_seen").cast("bigint").alias("first_seen"))
+
+
+def history_age_all(spark, sf_dir):
+    now, _ = _two_runs(spark, sf_dir)
+    return history.cluster_ages(now, 2).withColumn("since", F.col("since").cast("bigint"))
+
+
 # --- explanation and evaluation
 
 
@@ -365,7 +382,7 @@ QUERIES = {
         normalize_rows, amount_to_cents, money_format, infer_column_types, first_bad_row, business_keys, profile_summary, profile_partitions, status_histogram, duplicate_keys, match_exact, unmatched_after_exact,
         composite_edges, match_composite, match_composite_contested, match_split, match_summary, unmatched_final, check_missing, check_orphan, check_control_totals, check_row_counts, check_duplicates, check_values,
         value_bands, check_schema_drift, break_ids, breaks_by_type, row_level_impact, clusters_ranked, cluster_samples, attribution_effects, attribution_components, attribution_summary, stable_keys, history_diff,
-        history_streaks, history_sections, schema_changes, history_age, investigation_targets, adjacent_periods, fetch_rows, offline_classification, classification_summary, eval_recall, eval_calibration,
+        history_streaks, history_sections, schema_changes, history_age, history_diff_all, history_streaks_all, history_age_all, investigation_targets, adjacent_periods, fetch_rows, offline_classification, classification_summary, eval_recall, eval_calibration,
         generated_faults, next_day,
     )
 }
