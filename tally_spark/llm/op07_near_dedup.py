@@ -6,7 +6,8 @@
    first. Processes run in rounds over all documents of a slice at once, and a shingle's process ends early once its
    next arrival is later than all components of its document. Equal components estimate the probability Jaccard
    similarity, which for equal weights is the Jaccard similarity.
-3. Bands of ROWS components are the candidate search: representatives that agree in a band share a bucket.
+3. Bands of ROWS components are the candidate search: representatives that agree in a band share a bucket. One with
+   repeated shingles has a second signature and bands with weight 1 for each, so that both similarities are searched.
 4. Buckets are never expanded into pairs. In each round some members of a bucket, the pivots, are compared with the others,
    exactly, on the texts; then the linked ones are joined to classes. Only members of different classes are compared, and
    a bucket whose members are all of one class is done, since more links in it would change nothing. Pivots are taken
@@ -77,8 +78,10 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 def signatures(data: np.ndarray, at: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
     """A signature for each text (the hash that came first in each component), and which texts have shingles."""
-    owner, grams, weight = shingles(data, at)
-    n = len(at) - 1
+    return _signed(*shingles(data, at), len(at) - 1, components)
+
+
+def _signed(owner: np.ndarray, grams: np.ndarray, weight: np.ndarray, n: int, components: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.full(n * components, np.inf)
     winner = np.zeros(n * components, np.uint64)
     time = np.zeros(len(grams))
@@ -147,20 +150,34 @@ def _represent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.mapInArrow(run, "_id long, _digest binary, _sha binary")
 
 
+def _band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    key = np.zeros((len(found), bands), np.uint64)
+    for i in range(rows):
+        key = W.mix(key * np.uint64(W.BASE) + found[:, i::rows])
+    return W.mix(key + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(W.BASE))
+
+
 def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """bucket and rep for each band of each representative."""
+    """bucket and rep for each band of each representative: of its counted shingles and of their set, where these differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "text"):
             data, at = W.text_view(b.column(1))
-            found, some = signatures(data, at, bands * rows)
+            owner, grams, weight = shingles(data, at)
+            n = len(at) - 1
+            found, some = _signed(owner, grams, weight, n, bands * rows)
             keep = np.flatnonzero(some)
-            key = np.zeros((len(keep), bands), np.uint64)
-            for i in range(rows):
-                key = W.mix(key * np.uint64(W.BASE) + found[keep][:, i::rows])
-            key = W.mix(key + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(W.BASE))
-            ids = b.column(0).take(pa.array(np.repeat(keep, bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), ids], ["bucket", "rep"])
+            key = _band_keys(found[keep], bands, rows)
+            # without repeated shingles both signatures are the same
+            several = np.bincount(owner[weight > 1], minlength=n) > 0
+            own, texts = several[owner], np.flatnonzero(several)
+            place = np.cumsum(several) - 1
+            of_set, _ = _signed(place[owner[own]], grams[own], np.ones(int(own.sum())), len(texts), bands * rows)
+            key_of_set = _band_keys(of_set, bands, rows)
+            # texts in keep are ascending and have all of texts
+            more = key_of_set != key[np.searchsorted(keep, texts)]
+            ids = b.column(0).take(pa.array(np.concatenate([np.repeat(keep, bands), np.repeat(texts, more.sum(axis=1))])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key.ravel(), key_of_set[more]]).view(np.int64)), ids], ["bucket", "rep"])
 
     return reps.select("rep", "text").mapInArrow(run, "bucket long, rep long")
 

@@ -235,6 +235,23 @@ UNNAMED = [
 ]
 
 
+def test_near_dedup_of_a_line_repeated_many_times(spark):
+    """The sets are close while the counted shingles aren't: probability Jaccard far below the threshold."""
+    line = "over and over this line again"
+    docs = []
+    for k in range(6):
+        base = " ".join(f"r{k}x{j}" for j in range(80))
+        docs += [(2 * k, f"{base} {line}"), (2 * k + 1, base + f" {line}" * 60)]
+    x, y = (op07_near_dedup.shingles(*W.text_view(pa.array([t])))[1:] for _, t in docs[:2])
+    prob, jac = op07_near_dedup.similarity(x, y)
+    assert jac >= 0.8 and prob < 0.3
+    expected = brute.near_classes(docs)
+    assert expected == [i - i % 2 for i, _ in docs]
+    found = op07_near_dedup.classes(op07_near_dedup.links(spark.createDataFrame(docs, "rep long, text string")))
+    labels = {r.node: r.label for r in found.collect()}
+    assert [labels.get(i, i) for i, _ in docs] == expected
+
+
 def test_near_dedup_of_null_and_repeated_identifiers(spark):
     """One row is kept of each class that the plain version finds on numbered rows."""
     docs = rows(spark, UNNAMED)
