@@ -1,8 +1,8 @@
 """Line deduplication over content-defined chunks of lines.
 
-A document's lines are cut into chunks where a rolling hash over the last ROLL lines' hashes is divisible by DIVISOR. The
-cut depends on the lines near it only, so inserting or deleting lines moves no other cut. A chunk of at least MIN_LINES
-lines that occurs more than once in the corpus is removed everywhere but at its first occurrence (smallest document,
+A document's lines are cut into chunks where a rolling hash over the last ROLL lines' hashes is divisible by DIVISOR and
+no chunk under MIN_LINES is left. The cut depends on the lines near it only (and where cuts would follow each other
+closely, on the first of these), so inserting or deleting lines moves no cut far from them. A chunk that occurs more than once in the corpus is removed everywhere but at its first occurrence (smallest document,
 then place).
 
 Chunks are looked for by a 64-bit hash with partial counts; only those whose hash is repeated are carried on with their
@@ -32,6 +32,18 @@ from .shared import saved
 ROLL, DIVISOR, MIN_LINES = 2, 4, 2
 
 
+def _long_enough(cut: np.ndarray, nth: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The cuts that leave MIN_LINES lines before them, since the last cut, and after them. lines: how many the line's text has."""
+    place = np.flatnonzero(cut & (nth >= MIN_LINES - 1) & (lines - 1 - nth >= MIN_LINES))
+    out = np.zeros(len(cut), bool)
+    before = -MIN_LINES
+    for k in place.tolist():
+        if k - before >= MIN_LINES:
+            out[k] = True
+            before = k
+    return out
+
+
 def line_chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """text, first line, lines, start byte, end byte and hash of each chunk."""
     n = len(at) - 1
@@ -52,7 +64,7 @@ def line_chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     cut = ((rolled % np.uint64(DIVISOR)) == 0) & (nth >= ROLL - 1)
     last = np.zeros(len(hashes), bool)
     last[first_line[1:] - 1] = True
-    stop = np.flatnonzero(cut | last)
+    stop = np.flatnonzero(_long_enough(cut, nth, first_line[1:][text_of] - first_line[text_of]) | last)
     start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
     return text_of[start], nth[start], stop - start + 1, starts[start], stops[stop], W.word_hashes(data, starts[start], stops[stop])
 
@@ -62,7 +74,7 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(numbered: DataFrame) -> DataFrame:
-    """Each chunk of at least MIN_LINES lines, with its bytes. numbered: _id, _row, _text."""
+    """Each chunk, with its bytes, but for texts of under MIN_LINES lines. numbered: _id, _row, _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "_text"):

@@ -335,6 +335,15 @@ def test_line_dedup(docs, none):
     assert op01_line_dedup.remove_repeated_lines(none).count() == 0
 
 
+def test_line_dedup_removes_all_of_a_copy(spark):
+    """Cuts that follow each other leave no single lines, which would stay in every copy."""
+    docs = [(100 * c + i, "\n".join(f"text {i} line {k}" for k in range(40 + i))) for c in range(2) for i in range(10)]
+    sizes = [n for _, t in docs for n in op01_line_dedup.line_chunks(*W.text_view(pa.array([t])))[2].tolist()]
+    assert min(sizes) >= op01_line_dedup.MIN_LINES and sum(sizes) == sum(t.count("\n") + 1 for _, t in docs)
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in op01_line_dedup.remove_repeated_lines(rows(spark, docs), with_text=False).collect()}
+    assert found == {i: (t.count("\n") + 1, t.count("\n") + 1 if i >= 100 else 0) for i, t in docs}
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line {i * i % 37} of text" for i in range(60)]
     cut = lambda own: {tuple(own[a : a + n]) for _, a, n, *_ in zip(*op01_line_dedup.line_chunks(*W.text_view(pa.array(["\n".join(own)]))), strict=True)}
