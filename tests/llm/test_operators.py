@@ -107,6 +107,13 @@ def test_lm_base_counts(docs, none):
     assert op03_lm_score.scores(none).count() == 0
 
 
+def test_lm_scores(docs):
+    found = sorted(((brute.order(r.doc_id), r.score) for r in op03_lm_score.scores(docs).collect()))
+    expected = sorted((brute.order(i), s) for i, s in brute.interpolated(DOCS))
+    assert [i for i, _ in found] == [i for i, _ in expected]
+    assert np.allclose([s for _, s in found], [s for _, s in expected], rtol=1e-6, atol=1e-6)
+
+
 def test_lm_interpolation_is_a_distribution(spark):
     """The probabilities of all continuations of a context sum to one, unknown words being one more."""
     texts = ["a b a c", "b a b b", "c a a", "a b c a b", "b c"] * 8
