@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -196,3 +198,20 @@ def interpolated(docs):
     train = counted({-1, 0, 1, 3, 4, 5, 6})
     uniform = 1 / (len(train[0]) + 1)
     return [(i, sum(math.log10(weights[b][0] * uniform + weights[b][1] * one + weights[b][2] * two) for b, one, two in estimates(own, train))) for i, own in texts]
+
+
+def accepted(docs, labels, statistics):
+    """Documents that a quadratic discriminant over statistics(texts) accepts, fit on labelled ones with crc32(id) mod 3 other than 1."""
+    x = statistics([t for _, t in docs])
+    rows = {k: np.array([v for (i, _), v in zip(docs, x, strict=True) for j, y in labels if i == j and y == k and zlib.crc32(str(j).encode()) % 3 != 1]) for k in (0, 1)}
+    n = {k: len(v) for k, v in rows.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in rows.items()}
+    pooled = sum(n[k] * cov[k] for k in (0, 1)) / sum(n.values())
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+    log_density = {}
+    for k in (0, 1):
+        own = (0.8 * cov[k] + 0.2 * pooled) / np.outer(scale, scale)
+        own = 0.95 * own + 0.05 * (np.trace(own) / len(own) + 1e-6) * np.eye(len(own))
+        z = (x - rows[k].mean(0)) / scale
+        log_density[k] = np.log(n[k] / sum(n.values())) - 0.5 * (np.sum(z @ np.linalg.inv(own) * z, axis=1) + np.linalg.slogdet(own)[1])
+    return [d for d, good in zip(docs, log_density[1] >= log_density[0], strict=True) if good]
