@@ -8,23 +8,30 @@
    similarity, which for equal weights is the Jaccard similarity.
 3. Bands of ROWS components are the candidate search: representatives that agree in a band share a bucket. One with
    repeated shingles has a second signature and bands with weight 1 for each, so that both similarities are searched.
-4. Buckets are never expanded into pairs. In each round some members of a bucket, the pivots, are compared with the others,
-   exactly, on the texts; then the linked ones are joined to classes. Only members of different classes are compared, and
-   a bucket whose members are all of one class is done, since more links in it would change nothing. Pivots are taken
-   from the smallest classes first, so that a few outliers in a large group cost one comparison for each member.
-   Similarity is a metric (1 - similarity obeys the triangle inequality), so a member that is linked to a pivot is left
-   out, too, if all members that are not linked to that pivot are further from it than the member's distance plus the
-   threshold's. Pivots leave; the others meet again in the next round, with new pivots (more for each, the fewer members
-   are left; a round's pairs stay linear). What is lost is only what no band found.
-5. Linked representatives are joined to classes by minimum label with pointer jumping.
+   Buckets with the same members are one.
+4. First, all members of a bucket are compared with its first, exactly, on the texts. Buckets whose members then are of
+   one class are done, and so are those of two members. In the others, shingles that no other member of an open bucket
+   has are counted, and members that for them alone can't reach the threshold leave.
+5. What is left is compared in waves. A member's wave is drawn from its number, so that a wave has GROWTH times as many
+   pivots of a bucket as the one before. Pivots meet the members of later waves, and of their own, if these are of other
+   classes, and if two bounds don't rule a link out: that of shingles no other has, and that of bits in which parity
+   bitmaps of the shingle sets differ (each differing shingle turns one bit at most). A pair is compared in the first of
+   the buckets it shares only. Each wave's links join classes, and buckets of one class leave. So each pair of a bucket is
+   compared, or is of one class already, or is ruled out; what is lost is only what no band found.
+6. Links between classes are contracted after each wave, and joined by minimum label with pointer jumping.
+
+The bounds, for shared shares a and b of the two weights: the similarity is at most 1 / (1 / a + 1 / b - 1), for counted
+shingles as for the set (for the set, a and b are shares of the numbers). A set pair whose bitmaps differ in h bits has at
+least h differing shingles; of counted ones each weighs at least 1.
 
 The link test takes the larger of the probability Jaccard similarity and the Jaccard similarity of the shingle sets, so a
-pair counts if either definition has it. For the pruning in 4 each is checked by itself.
+pair counts if either definition has it.
 
 Defined results: null text is empty; documents without words form one class; a document of fewer than SHINGLE words has
 its whole text as one shingle. A null identifier is smaller than any other. Identifiers may be null or repeated: rows are
 told apart by identifier and text digest. Of each class one row is kept, the one with the smallest identifier, then
-digest. An empty table gives an empty result. Other columns aren't read. Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z.
+digest. An empty table gives an empty result. Other columns aren't read, whatever their names. Words are runs of letters,
+digits and non-ASCII characters after lower-casing A-Z.
 """
 
 from __future__ import annotations
@@ -38,12 +45,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import saved
+from .shared import drop, only, row_mark, saved
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Twenty-five bands of four: a pair at the threshold is missed with a chance of 2e-6.
 BANDS, ROWS = 25, 4
-PIVOTS = 4
+#: How many times the pivots of a wave are those of the one before, and the words of a parity bitmap.
+GROWTH, BITMAP_WORDS = 8, 8
 
 
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +139,8 @@ def _digest(text_col: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
 
 
-def _represent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _digest (of the text) and _sha (of the word sequence) for each row."""
+def _represent(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+    """_id, _digest (of the text), _sha (of the word sequence) and _bands (bucket numbers) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "_text"):
@@ -144,10 +152,10 @@ def _represent(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out[W.NOT_ALNUM[low]] = 0x20
             raw, first = out.tobytes(), W.bounds(text_of, len(at) - 1)
             shas = [hashlib.blake2b(b" ".join(raw[starts[f] : ends[z - 1]].split()) if z > f else b"", digest_size=16).digest() for f, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.binary())], ["_id", "_digest", "_sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.binary()), _bands(data, at, bands, rows)], ["_id", "_digest", "_sha", "_bands"])
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), _digest(text_col).alias("_digest"))
-    return own.mapInArrow(run, "_id long, _digest binary, _sha binary")
+    return own.mapInArrow(run, "_id long, _digest binary, _sha binary, _bands array<long>")
 
 
 def _band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -157,145 +165,212 @@ def _band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return W.mix(key + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(W.BASE))
 
 
-def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """bucket and rep for each band of each representative: of its counted shingles and of their set, where these differ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.pieces(batches, "text"):
-            data, at = W.text_view(b.column(1))
-            owner, grams, weight = shingles(data, at)
-            n = len(at) - 1
-            found, some = _signed(owner, grams, weight, n, bands * rows)
-            keep = np.flatnonzero(some)
-            key = _band_keys(found[keep], bands, rows)
-            # without repeated shingles both signatures are the same
-            several = np.bincount(owner[weight > 1], minlength=n) > 0
-            own, texts = several[owner], np.flatnonzero(several)
-            place = np.cumsum(several) - 1
-            of_set, _ = _signed(place[owner[own]], grams[own], np.ones(int(own.sum())), len(texts), bands * rows)
-            key_of_set = _band_keys(of_set, bands, rows)
-            # texts in keep are ascending and have all of texts
-            more = key_of_set != key[np.searchsorted(keep, texts)]
-            ids = b.column(0).take(pa.array(np.concatenate([np.repeat(keep, bands), np.repeat(texts, more.sum(axis=1))])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key.ravel(), key_of_set[more]]).view(np.int64)), ids], ["bucket", "rep"])
-
-    return reps.select("rep", "text").mapInArrow(run, "bucket long, rep long")
-
-
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, prob, jac of distinct pairs. A pair meets first one text, then the other."""
+def _bands(data: np.ndarray, at: np.ndarray, bands: int, rows: int) -> pa.ListArray:
+    """Bucket numbers of each text: of its counted shingles, and of their set where these differ. None without words."""
+    owner, grams, weight = shingles(data, at)
+    n = len(at) - 1
+    found, some = _signed(owner, grams, weight, n, bands * rows)
+    keep = np.flatnonzero(some)
+    key = _band_keys(found[keep], bands, rows)
+    # without repeated shingles both signatures are the same
+    several = np.bincount(owner[weight > 1], minlength=n) > 0
+    own, texts = several[owner], np.flatnonzero(several)
+    place = np.cumsum(several) - 1
+    of_set, _ = _signed(place[owner[own]], grams[own], np.ones(int(own.sum())), len(texts), bands * rows)
+    key_of_set = _band_keys(of_set, bands, rows)
+    # texts in keep are ascending and have all of texts
+    more = key_of_set != key[np.searchsorted(keep, texts)]
+    text_of = np.concatenate([np.repeat(keep, bands), np.repeat(texts, more.sum(axis=1))])
+    order = np.argsort(text_of, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(W.bounds(text_of[order], n), pa.int32()), pa.array(np.concatenate([key.ravel(), key_of_set[more]])[order].view(np.int64)))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are links. A pair meets first one text, then the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, tuple | None] = (None, None)
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
-            prob, jac = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            link = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 number = a[i].as_py()
                 if last[0] != number:
                     last = (number, shingles(*W.text_view(ta.slice(i, 1)))[1:])
-                prob[i], jac[i] = similarity(last[1], shingles(*W.text_view(tb.slice(i, 1)))[1:])
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(prob), pa.array(jac)], ["a", "b", "prob", "jac"])
+                link[i] = max(similarity(last[1], shingles(*W.text_view(tb.slice(i, 1)))[1:])) >= threshold
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(link))
 
     one = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, prob double, jac double")
+    return saved(two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    """hash, rep and w (count) of each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.pieces(batches, "text"):
+            owner, grams, weight = shingles(*W.text_view(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(weight, pa.int64())], ["hash", "rep", "w"])
+
+    return texts.select("rep", "text").mapInArrow(run, "hash long, rep long, w long")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, rep) of buckets that still hold several classes, with label and size, how many of the bucket's members have it. labels: node, label."""
-    own = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    own = saved(own, "labelled")
-    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
+def _measured(texts: DataFrame) -> DataFrame:
+    """rep, n (distinct shingles), w (all) and m0, m1 and so on: a bitmap of the parity of shingles on each bit."""
+    names = [f"m{i}" for i in range(BITMAP_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 64 * BITMAP_WORDS
+        for b in W.pieces(batches, "text"):
+            owner, grams, weight = shingles(*W.text_view(b.column(1)))
+            n = b.num_rows
+            slot = owner * bits + (W.mix(grams) % np.uint64(bits)).astype(np.int64)
+            odd = (np.bincount(slot, minlength=n * bits) & 1).astype(np.uint8)
+            words = np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+            sizes = [np.bincount(owner, minlength=n), np.bincount(owner, weights=weight, minlength=n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x.astype(np.int64)) for x in sizes], *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(BITMAP_WORDS)]], ["rep", "n", "w", *names])
+
+    return texts.select("rep", "text").mapInArrow(run, ", ".join(["rep long", "n long", "w long", *[f"{x} long" for x in names]]))
+
+
+def _crowded(members: DataFrame, several: str) -> DataFrame:
+    """bucket, size and first (smallest rep) of the buckets for which the aggregate several holds; one of those with equal members."""
+    seen = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("_y"), F.expr(several).alias("_open"))
+    return seen.filter("_open").groupBy("size", "first", "_x", "_y").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "first")
+
+
+def _open(members: DataFrame, name: str) -> DataFrame:
+    """members (bucket, rep, label, ...) of buckets with several labels."""
     # stored, so that the join has a shuffle of its own on both sides and can be split where a bucket is large
-    kept = saved(sizes.join(several, "bucket", "left_semi"), "sizes")
-    return saved(own.join(kept, ["bucket", "label"]).select("bucket", "rep", "label", "size"), "buckets")
-
-
-def links(reps: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS) -> DataFrame:
-    """a and b of links between representatives (rep, text) that keep all classes together."""
-    members = saved(_bands(reps, bands, rows), "bands")
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    # stored, here and below: a join with a shuffle of its own on both sides can be split where a bucket is large
-    members = saved(members.join(saved(crowded, "crowded"), "bucket").select("bucket", "rep", F.col("rep").alias("label"), F.lit(1).cast("long").alias("size")), "buckets")
-    texts = saved(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "text"), "texts")
-    found = None
-    far = 1 - threshold
-    bound = texts.count()
-    while n := members.count():
-        # the fewer members are left, the more pivots: a round compares PIVOTS for each member, or as many pairs as there are representatives
-        most = max(pivots, bound // n)
-        # Spark keeps the first rows of each group before it shuffles them
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", "rep"))
-        chosen = saved(members.withColumn("_nth", order).filter(F.col("_nth") <= most).select(F.col("bucket").alias("_b"), F.col("rep").alias("_pivot"), F.col("label").alias("_label")), "pivots")
-        met = saved(members.join(chosen, F.col("bucket") == F.col("_b")).filter("label <> _label").select("bucket", "_pivot", "rep"), "met")
-        pair = met.select(F.least("_pivot", "rep").alias("a"), F.greatest("_pivot", "rep").alias("b")).distinct()
-        sims = saved(_compared(pair, texts), "compared")
-        linked = sims.filter((F.col("prob") >= threshold) | (F.col("jac") >= threshold)).select("a", "b")
-        found = linked if found is None else found.unionByName(linked)
-        left = saved(members.join(chosen.select(F.col("_b").alias("bucket"), F.col("_pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep"), "left")
-        near = met.join(left, ["bucket", "rep"], "left_semi").join(sims, (F.least("_pivot", "rep") == F.col("a")) & (F.greatest("_pivot", "rep") == F.col("b"))).select("bucket", "_pivot", "rep", "prob", "jac")
-        near = saved(near, "near")
-        apart = near.filter((F.col("prob") < threshold) & (F.col("jac") < threshold)).groupBy("bucket", "_pivot").agg((1 - F.max("prob")).alias("_prob"), (1 - F.max("jac")).alias("_jac"))
-        apart = saved(apart, "apart")
-        # out: linked to a pivot from which all that aren't linked to it are too far away for a link
-        spared = (
-            near.join(apart.withColumnsRenamed({"bucket": "_b", "_pivot": "_p"}), (F.col("bucket") == F.col("_b")) & (F.col("_pivot") == F.col("_p")), "left")
-            .filter((F.col("prob") >= threshold) | (F.col("jac") >= threshold))
-            .filter(F.col("_b").isNull() | (((1 - F.col("prob")) < F.col("_prob") - far) & ((1 - F.col("jac")) < F.col("_jac") - far)))
-            .select("bucket", "rep")
-            .distinct()
-        )
-        members = _open(left.join(spared, ["bucket", "rep"], "left_anti"), classes(found))
-    return found if found is not None else texts.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    several = saved(members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("bucket"), "several")
+    out = saved(members.join(several, "bucket", "left_semi"), name)
+    drop(several)
+    return out
+
+
+def _rivals(play: DataFrame, wave: int, threshold: float) -> DataFrame:
+    """a and b of the pairs that a wave has to compare. play: bucket, rep, label, wave, n, w, un, uw, m0 and so on, buckets."""
+    least = (1 + 1 / threshold) * (1 + 1e-12)
+    one = play.filter(F.col("wave") == wave).select(*[F.col(c).alias(f"p_{c}") for c in play.columns])
+    differ = " + ".join(f"bit_count(m{i} ^ p_m{i})" for i in range(BITMAP_WORDS))
+    test = f"""label <> p_label AND (wave > p_wave OR rep > p_rep)
+        AND (((n + p_n) / cast(least(n - un, p_n - p_un) as double) <= {least!r}D AND ({differ}) <= (n + p_n) * {(1 - threshold) / (1 + threshold) * (1 + 1e-12)!r}D)
+          OR ((n < w OR p_n < p_w) AND w / cast(w - uw as double) + p_w / cast(p_w - p_uw as double) <= {least!r}D
+            AND (w + p_w - ({differ})) * {least!r}D >= power(sqrt(w) + sqrt(p_w), 2)))
+        AND bucket = array_min(array_intersect(buckets, p_buckets))"""
+    met = play.filter(F.col("wave") >= wave).join(one, (F.col("bucket") == F.col("p_bucket")) & F.expr(test))
+    return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
+
+
+def _relabelled(df: DataFrame, moved: DataFrame) -> DataFrame:
+    """df with its labels as moved (node, label) has them."""
+    to = moved.select(F.col("node").alias("_node"), F.col("label").alias("_to"))
+    return df.join(to, F.col("label") == F.col("_node"), "left").withColumn("label", F.coalesce("_to", "label")).select(*df.columns)
+
+
+def _wave_of(threshold_size: str) -> Column:
+    """The wave of a member of a bucket: the first that has about GROWTH, in the next GROWTH times as many, and so on."""
+    share = f"(shiftrightunsigned(xxhash64(rep, 11), 1) / {float(1 << 63)!r}D)"
+    return F.expr(f"cast(greatest(0D, ceil(ln(greatest({share} * {threshold_size}, 1e-9D)) / {float(np.log(GROWTH))!r}D) - 1) as int)")
+
+
+def labels(reps: DataFrame, texts_of, threshold: float = THRESHOLD) -> DataFrame:
+    """node and label (the smallest of its class) of those representatives (rep, _bands) that share a bucket. texts_of: gives rep and text for a table of rep."""
+    every = reps.select("rep", F.explode("_bands").alias("bucket"))
+    crowded = saved(_crowded(every, "count(1) > 1"), "crowded")
+    members = saved(every.join(crowded, "bucket").select("bucket", "rep", "first", "size"), "members")
+    drop(crowded)
+    texts = saved(texts_of(members.select("rep").distinct()), "texts")
+    pairs = saved(members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    found = classes(_linked(pairs, texts, threshold))
+    label = saved(members.select(F.col("rep").alias("node")).distinct().join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("label")), "label")
+    # a bucket's first has met all others of it
+    left = members.filter("size > 2 AND rep <> first").select("bucket", "rep").join(label, F.col("rep") == F.col("node")).select("bucket", "rep", "label")
+    left = _open(left, "open")
+    for x in (pairs, members, found):
+        drop(x)
+    if not left.limit(1).count():
+        return label
+    own = saved(texts.join(left.select("rep").distinct(), "rep", "left_semi"), "open-texts")
+    alone = _hashed(own).groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("rep"), F.min("w").alias("w")).filter("_n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("un"), F.sum("w").alias("uw"))
+    stats = _measured(own).join(alone, "rep", "left").fillna(0, ["un", "uw"])
+    able = saved(stats.filter(f"n - un >= n * {threshold * (1 - 1e-12)!r}D OR w - uw >= w * {threshold * (1 - 1e-12)!r}D"), "able")
+    live = saved(left.join(able.select("rep"), "rep", "left_semi"), "live")
+    drop(left)
+    sized = saved(_crowded(live, "min(label) < max(label)").select("bucket", "size"), "sized")
+    live = saved(live.join(sized, "bucket"), "sized-live")
+    # at most two for each band
+    shared = live.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
+    play = saved(live.join(shared, "rep").join(able, "rep").withColumn("wave", _wave_of("size")).drop("size"), "play")
+    for x in (live, sized, able):
+        drop(x)
+    last = play.agg(F.max("wave")).first()[0]
+    for wave in range(0 if last is None else last + 1):
+        pairs = saved(_rivals(play, wave, threshold), "pairs")
+        links = _linked(pairs, own, threshold) if pairs.limit(1).count() else pairs
+        if pairs.limit(1).count() and links.limit(1).count():
+            at = label.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+            ends = links.join(at, F.col("a") == F.col("_node")).select(F.col("_label").alias("a"), "b").join(at, F.col("b") == F.col("_node")).select("a", F.col("_label").alias("b"))
+            moved = classes(ends.distinct())
+            label, before = saved(_relabelled(label, moved), "label"), label
+            play, old = _open(_relabelled(play, moved), "play"), play
+            for x in (before, old, moved):
+                drop(x)
+        drop(pairs)
+    for x in (play, own, texts):
+        drop(x)
+    return label
 
 
 def classes(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node of its class) for all nodes of edges (a, b), by minimum label and pointer jumping."""
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    found = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        least = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("_near"))
-        pushed = labels.join(least, F.col("node") == F.col("a")).select("node", "label", F.least("label", "_near").alias("_new"))
+        least = both.join(found, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("_near"))
+        pushed = found.join(least, F.col("node") == F.col("a")).select("node", "label", F.least("label", "_near").alias("_new"))
         # a label's own label: chains shorten by half in each round
         jumped = pushed.join(pushed.select(F.col("node").alias("_n"), F.col("_new").alias("_up")), F.col("_new") == F.col("_n"), "left").select("node", "label", F.coalesce(F.least("_up", "_new"), "_new").alias("_new"))
         after = saved(jumped, "labels")
+        drop(found)
+        found = after.select("node", F.col("_new").alias("label"))
         if not after.filter("label <> _new").limit(1).count():
-            return after.select("node", F.col("_new").alias("label"))
-        labels = after.select("node", F.col("_new").alias("label"))
+            drop(both)
+            return found
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """One row for each document: _id, _digest, _rep (_id and _digest of the first of those with equal words), _first (of its class), _nth of equal rows."""
-    rows = saved(_represent(docs, id_col, text_col), "wordings")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row for each _id and _digest: _rep (_id and _digest of the first of those with equal words), _first (of its class), _same (equal rows)."""
+    wordings = saved(_represent(docs, id_col, text_col, bands, rows), "wordings")
     # a wording is named by a number of its own, stored: identifiers may be null or repeated
-    best = saved(rows.groupBy("_sha").agg(F.min(F.struct("_id", "_digest")).alias("_rep")).withColumn("rep", F.monotonically_increasing_id()), "best")
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_own"), _digest(text_col).alias("_text_digest"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    found = own.join(best.select("rep", "_rep"), (F.col("_text_digest") == F.col("_rep._digest")) & F.col("_own").eqNullSafe(F.col("_rep._id")))
-    # repeated rows, of one text: one is enough
-    reps = found.select("rep", "text").dropDuplicates(["rep"])
-    grouped = best.join(classes(links(reps, threshold)), F.col("rep") == F.col("node"), "left").select("_sha", "_rep", F.coalesce("label", "rep").alias("label"))
-    grouped = saved(grouped, "grouped")
-    first = grouped.groupBy("label").agg(F.min("_rep").alias("_first"))
-    group = grouped.join(first, "label").select("_sha", "_rep", "_first")
-    counted = rows.groupBy("_sha", "_id", "_digest").agg(F.count(F.lit(1)).alias("_same"))
-    return counted.join(group, "_sha").select("*", F.explode(F.sequence(F.lit(1), F.col("_same").cast("int"))).alias("_nth"))
+    best = saved(wordings.groupBy("_sha").agg(F.min(F.struct("_id", "_digest")).alias("_rep"), F.any_value("_bands").alias("_bands")).withColumn("rep", F.monotonically_increasing_id()), "best")
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        own = docs.select(F.col(f"`{id_col}`").cast("long").alias("_own"), _digest(text_col).alias("_text_digest"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+        named = best.join(wanted, "rep", "left_semi").select("rep", F.col("_rep._id").alias("_rep_id"), F.col("_rep._digest").alias("_rep_digest"))
+        # repeated rows, of one text: one is enough
+        return own.join(named, (F.col("_text_digest") == F.col("_rep_digest")) & F.col("_own").eqNullSafe(F.col("_rep_id"))).select("rep", "text").dropDuplicates(["rep"])
 
-def _is_first() -> Column:
-    return F.struct("_id", "_digest").eqNullSafe(F.col("_first")) & (F.col("_nth") == 1)
+    label = labels(best.select("rep", "_bands"), texts_of, threshold)
+    grouped = saved(best.join(label, F.col("rep") == F.col("node"), "left").select("_sha", "_rep", F.coalesce("label", "rep").alias("label")), "grouped")
+    first = saved(grouped.groupBy("label").agg(F.min("_rep").alias("_first")), "first")
+    group = grouped.join(first, "label").select("_sha", "_rep", "_first")
+    counted = wordings.groupBy("_sha", "_id", "_digest").agg(F.count(F.lit(1)).alias("_same"))
+    out = saved(counted.join(group, "_sha").drop("_sha"), "groups")
+    for x in (wordings, best, label, grouped, first):
+        drop(x)
+    return out
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: id, rep_id (smallest identifier of those with equal words), class_id (smallest of the class), kept (exactly one row of each class)."""
-    joined = _grouped(docs, id_col, text_col, threshold)
-    return joined.select(F.col("_id").alias(id_col), F.col("_rep._id").alias("rep_id"), F.col("_first._id").alias("class_id"), _is_first().alias("kept"))
+    each = _grouped(docs, id_col, text_col, threshold).select("*", F.explode(F.sequence(F.lit(1), F.col("_same").cast("int"))).alias("_nth"))
+    kept = F.struct("_id", "_digest").eqNullSafe(F.col("_first")) & (F.col("_nth") == 1)
+    return each.select(F.col("_id").alias(id_col), F.col("_rep._id").alias("rep_id"), F.col("_first._id").alias("class_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each class."""
-    kept = _grouped(docs, id_col, text_col, THRESHOLD).filter(_is_first()).select(F.col("_id").alias("_kept_id"), F.col("_digest").alias("_kept_digest"))
-    marked = docs.withColumn("_own_digest", _digest(text_col))
-    found = marked.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest")), "left_semi")
-    return found.dropDuplicates([id_col, "_own_digest"]).drop("_own_digest")
+    """The first row of docs of each class, with all its columns. Nulls, repeated rows and clashing names as above."""
+    firsts = _grouped(docs, id_col, text_col, THRESHOLD).select(F.col("_first._id").alias("_id"), F.hex("_first._digest").alias("_hex")).distinct()
+    return only(docs, firsts.select(row_mark(F.col("_id"), F.col("_hex")).alias("_kept")), row_mark(F.col(f"`{id_col}`").cast("long"), F.hex(_digest(text_col))))

@@ -51,9 +51,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table from saved() that no later job reads."""
+    """Delete the tables from saved() that df reads and no later job does."""
+    stored = {path for _, path in _written}
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
+        # a local path has file:/ or file:/// before it
+        name = path.rsplit("/", 1)[1]
+        if any(x.endswith("/" + name) for x in stored):
+            drop_path(df.sparkSession, path)
 
 
 @atexit.register
@@ -77,6 +81,21 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def renamed_apart(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Only the columns an operator reads, so that extra ones can't clash with its own."""
-    return docs.select(*[F.col(f"`{c}`") for c in keep])
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, that no column of df has in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_mark(doc_id: Column, digest: Column) -> Column:
+    """One value for an identifier, null or not, and the digest of a text; rows with equal ones are repeated rows."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), digest)
+
+
+def only(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """One row of docs for each of the distinct values in kept's only column; mark gives a row's value. The texts are shuffled once, by it."""
+    own, there = fresh(docs, "_mark"), fresh(docs, "_kept")
+    found = docs.withColumn(own, mark).join(kept.toDF(there), F.col(own) == F.col(there), "left_semi")
+    return found.dropDuplicates([own]).drop(own)

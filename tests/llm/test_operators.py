@@ -66,11 +66,41 @@ def test_exact_dedup(docs, none):
 
 
 def test_tree_merge_needs_no_particular_number_of_runs(spark, docs):
-    for n, fan in ((1, 8), (9, 2), (17, 3)):
-        found = op08_exact_dedup.digests(docs.repartition(n)).cache()
-        groups = op08_exact_dedup.tree_merge(found, n, fan, "min")
-        assert groups.count() == len({(t or "").translate(brute.LOW) for _, t in DOCS})
-        assert groups.groupBy().sum("_rows").first()[0] == len(DOCS)
+    expected = sorted({(x[4], x[2]) for x in brute.exact(DOCS)})
+    for n, fan, range_rows in ((1, 8, 1000), (9, 2, 7), (17, 3, 40)):
+        found = op08_exact_dedup.saved(op08_exact_dedup.digests(docs.repartition(n)).repartition(n), "digests")
+        level = op08_exact_dedup.runs(found, "min")
+        n_runs = level.agg({"_run": "max"}).first()[0] + 1
+        for run in range(n_runs):
+            own = [bytes(r._sha) for r in level.filter(f"_run = {run}").collect()]
+            assert own == sorted(set(own))
+        groups = op08_exact_dedup.tree_merge(level, n_runs, fan, "min", range_rows).collect()
+        assert sorted((bytes(r._sha).hex(), r._rows) for r in groups) == expected
+
+
+def test_merge_tells_entries_of_one_digest_apart():
+    def run(*entries):
+        sha, second, size, kept, rows = zip(*entries, strict=True)
+        return np.array(sha, "S32"), np.array(second), np.array(size), np.array([k or 0 for k in kept]), np.array([k is None for k in kept]), np.array(rows)
+
+    a, b = b"a" * 31 + b"\0", b"\xff" * 32
+    parts = [run((a, 1, 5, 7, 1), (b, 1, 5, None, 2)), run((a, 1, 5, 3, 4), (a, 2, 5, 9, 1), (b, 1, 5, 2, 1)), run((a, 1, 6, 8, 1))]
+    for keep, expected in (("max", [(a, 1, 5, 7, 5), (a, 1, 6, 8, 1), (a, 2, 5, 9, 1), (b, 1, 5, 2, 3)]), ("min", [(a, 1, 5, 3, 5), (a, 1, 6, 8, 1), (a, 2, 5, 9, 1), (b, 1, 5, None, 3)])):
+        sha, second, size, kept, null, rows = op08_exact_dedup._merged(parts, keep)
+        found = [(s.ljust(32, b"\0"), i, j, None if z else k, n) for s, i, j, k, z, n in zip(sha.tolist(), second.tolist(), size.tolist(), kept.tolist(), null.tolist(), rows.tolist(), strict=True)]
+        assert sorted(found, key=lambda x: x[:3]) == expected
+
+
+#: Names that operators use themselves, some in another spelling.
+CLASHING = "doc_id long, text string, _mark string, _KEPT string, _bad string, _kept_id long, _own_sha string, _bad_id long, _id long, _text string, _sha string, __mark string"
+
+
+def test_filtering_stages_keep_columns_of_any_name(spark):
+    docs = rows(spark, [(1, "Same text"), (2, "same text"), (3, "item words here"), (None, "alone")], CLASHING)
+    items = spark.createDataFrame([(1, "item words here")], "item_id long, text string")
+    for found, ids in ((op08_exact_dedup.drop_copies(docs), {2, 3, None}), (op07_near_dedup.drop_near_copies(docs), {1, 3, None}), (op06_decontaminate.drop_contaminated(docs, items), {1, 2, None})):
+        assert found.columns == docs.columns
+        assert {r.doc_id for r in found.collect()} == ids
 
 
 def test_pii(docs, none):
@@ -254,9 +284,8 @@ def test_near_dedup_of_a_line_repeated_many_times(spark):
     assert jac >= 0.8 and prob < 0.3
     expected = brute.near_classes(docs)
     assert expected == [i - i % 2 for i, _ in docs]
-    found = op07_near_dedup.classes(op07_near_dedup.links(spark.createDataFrame(docs, "rep long, text string")))
-    labels = {r.node: r.label for r in found.collect()}
-    assert [labels.get(i, i) for i, _ in docs] == expected
+    found = {r.doc_id: r.class_id for r in op07_near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [found[i] for i, _ in docs] == expected
 
 
 def test_near_dedup_of_null_and_repeated_identifiers(spark):
@@ -282,21 +311,37 @@ def test_decontamination_of_null_and_repeated_identifiers(spark):
     same(((r.doc_id, r.text) for r in clean.collect()), (d for d, b in zip(UNNAMED, bad, strict=True) if not b))
 
 
-def test_near_dedup_keeps_links_whatever_the_pivots(spark):
-    """Chains of texts, each close to the next only, and more of them than pivots."""
+def test_near_dedup_of_chains(spark):
+    """Texts each close to the next only."""
     words = [f"c{j}" for j in range(100)]
     docs = []
     for i in range(10):
         own = list(words)
         own[: 2 * i] = [f"n{j}" for j in range(2 * i)]
-        docs.append((i, " ".join(own)))
-    docs = [(i * 17 % 101, t) for i, t in docs]
+        docs.append((i * 17 % 101, " ".join(own)))
+    expected = dict(zip((i for i, _ in docs), brute.near_classes(docs), strict=True))
+    assert {r.doc_id: r.class_id for r in op07_near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == expected
+
+
+def test_near_dedup_of_a_cloud_in_several_waves(spark, monkeypatch):
+    """One large group whose members are within the threshold of some others only, beside texts that share a repeated line."""
+    monkeypatch.setattr(op07_near_dedup, "GROWTH", 2)
+    r = random.Random(4)
+    base = [f"b{j}" for j in range(90)]
+    docs = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(r.randint(0, 5)):
+            own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+        if i % 3 == 0:
+            a = r.randrange(60)
+            del own[a : a + r.randint(0, 30)]
+        if i % 10 == 0:
+            own += "and again the same six words".split() * r.randint(5, 60)
+        docs.append((i * 37 % 1009, " ".join(own)))
     expected = dict(zip((i for i, _ in docs), brute.near_classes(docs), strict=True))
-    reps = spark.createDataFrame(docs, "rep long, text string")
-    for pivots in (1,):
-        edges = op07_near_dedup.links(reps, pivots=pivots)
-        found = {r.node: r.label for r in op07_near_dedup.classes(edges).collect()}
-        assert {i: found.get(i, i) for i, _ in docs} == expected
+    assert 1 < len(set(expected.values())) < len(docs)
+    assert {r.doc_id: r.class_id for r in op07_near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == expected
 
 
 def test_prob_minhash_estimates_similarity():
