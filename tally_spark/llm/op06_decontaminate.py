@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, saved
+from .shared import fresh, lower_ascii, saved
 
 ITEM_WINDOW = 10
 #: The windows' words, as text, up to which they are sent to every executor.
@@ -95,8 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that share no window with an item."""
-    # by digest of the text, since identifiers may be null or repeated
-    marked = docs.withColumn("_own_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
-    bad = contamination(marked, items, "_own_sha", text_col).filter("contaminated").select(F.col("_own_sha").alias("_bad_sha")).distinct()
-    return marked.join(bad, F.col("_own_sha") == F.col("_bad_sha"), "left_anti").drop("_own_sha")
+    """The rows of docs that share no window with an item, with all their columns. Rows are told by the digest of the text, since identifiers may be null or repeated."""
+    own, there = fresh(docs, "_mark"), fresh(docs, "_bad")
+    marked = docs.withColumn(own, F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+    bad = contamination(marked, items, own, text_col).filter("contaminated").select(F.col(own).alias(there)).distinct()
+    return marked.join(bad, F.col(own) == F.col(there), "left_anti").drop(own)
