@@ -240,19 +240,19 @@ def _crowded(members: DataFrame, several: str) -> DataFrame:
     return seen.filter("_open").groupBy("size", "first", "_x", "_y").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "first")
 
 
-def _open(members: DataFrame, name: str) -> DataFrame:
-    """members (bucket, rep, label, ...) of buckets with several labels."""
-    # stored, so that the join has a shuffle of its own on both sides and can be split where a bucket is large
-    several = saved(members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("bucket"), "several")
-    out = saved(members.join(several, "bucket", "left_semi"), name)
-    drop(several)
-    return out
+def _several(members: DataFrame) -> DataFrame:
+    """The buckets whose members have several labels; stored, so that a join with it has a shuffle of its own on both sides and can be split where a bucket is large."""
+    return saved(members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("bucket"), "several")
 
 
 def _rivals(play: DataFrame, wave: int, threshold: float) -> DataFrame:
     """a and b of the pairs that a wave has to compare. play: bucket, rep, label, wave, n, w, un, uw, m0 and so on, buckets."""
     least = (1 + 1 / threshold) * (1 + 1e-12)
-    one = play.filter(F.col("wave") == wave).select(*[F.col(c).alias(f"p_{c}") for c in play.columns])
+    # buckets of one class have no pivots any more
+    several = _several(play)
+    pivots = play.filter(F.col("wave") == wave).join(several, "bucket", "left_semi")
+    one = saved(pivots.select(*[F.col(c).alias(f"p_{c}") for c in play.columns]), "pivots")
+    drop(several)
     differ = " + ".join(f"bit_count(m{i} ^ p_m{i})" for i in range(BITMAP_WORDS))
     test = f"""label <> p_label AND (wave > p_wave OR rep > p_rep)
         AND (((n + p_n) / cast(least(n - un, p_n - p_un) as double) <= {least!r}D AND ({differ}) <= (n + p_n) * {(1 - threshold) / (1 + threshold) * (1 + 1e-12)!r}D)
@@ -260,7 +260,9 @@ def _rivals(play: DataFrame, wave: int, threshold: float) -> DataFrame:
             AND (w + p_w - ({differ})) * {least!r}D >= power(sqrt(w) + sqrt(p_w), 2)))
         AND bucket = array_min(array_intersect(buckets, p_buckets))"""
     met = play.filter(F.col("wave") >= wave).join(one, (F.col("bucket") == F.col("p_bucket")) & F.expr(test))
-    return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
+    pairs = saved(met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")), "pairs")
+    drop(one)
+    return pairs
 
 
 def _relabelled(df: DataFrame, moved: DataFrame) -> DataFrame:
@@ -287,8 +289,10 @@ def labels(reps: DataFrame, texts_of, threshold: float = THRESHOLD) -> DataFrame
     label = saved(members.select(F.col("rep").alias("node")).distinct().join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("label")), "label")
     # a bucket's first has met all others of it
     left = members.filter("size > 2 AND rep <> first").select("bucket", "rep").join(label, F.col("rep") == F.col("node")).select("bucket", "rep", "label")
-    left = _open(left, "open")
-    for x in (pairs, members, found):
+    left = saved(left, "left")
+    several = _several(left)
+    left, before = saved(left.join(several, "bucket", "left_semi"), "open"), left
+    for x in (pairs, members, found, before, several):
         drop(x)
     if not left.limit(1).count():
         return label
@@ -307,14 +311,15 @@ def labels(reps: DataFrame, texts_of, threshold: float = THRESHOLD) -> DataFrame
         drop(x)
     last = play.agg(F.max("wave")).first()[0]
     for wave in range(0 if last is None else last + 1):
-        pairs = saved(_rivals(play, wave, threshold), "pairs")
+        pairs = _rivals(play, wave, threshold)
         links = _linked(pairs, own, threshold) if pairs.limit(1).count() else pairs
         if pairs.limit(1).count() and links.limit(1).count():
             at = label.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
             ends = links.join(at, F.col("a") == F.col("_node")).select(F.col("_label").alias("a"), "b").join(at, F.col("b") == F.col("_node")).select("a", F.col("_label").alias("b"))
             moved = classes(ends.distinct())
             label, before = saved(_relabelled(label, moved), "label"), label
-            play, old = _open(_relabelled(play, moved), "play"), play
+            # a wave's pivots have met all they had to
+            play, old = saved(_relabelled(play.filter(F.col("wave") > wave), moved), "play"), play
             for x in (before, old, moved):
                 drop(x)
         drop(pairs)
@@ -329,11 +334,13 @@ def classes(edges: DataFrame) -> DataFrame:
     found = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         least = both.join(found, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("_near"))
-        pushed = found.join(least, F.col("node") == F.col("a")).select("node", "label", F.least("label", "_near").alias("_new"))
+        # stored, so that the join below can be split where very many have one label
+        pushed = saved(found.join(least, F.col("node") == F.col("a")).select("node", "label", F.least("label", "_near").alias("_new")), "pushed")
         # a label's own label: chains shorten by half in each round
         jumped = pushed.join(pushed.select(F.col("node").alias("_n"), F.col("_new").alias("_up")), F.col("_new") == F.col("_n"), "left").select("node", "label", F.coalesce(F.least("_up", "_new"), "_new").alias("_new"))
         after = saved(jumped, "labels")
-        drop(found)
+        for x in (found, pushed):
+            drop(x)
         found = after.select("node", F.col("_new").alias("label"))
         if not after.filter("label <> _new").limit(1).count():
             drop(both)
