@@ -131,21 +131,60 @@ def near_classes(docs, threshold=0.8):
     return [least[top(k)] for k in range(len(docs))]
 
 
-def lines(docs, chunks_of):
-    """chunks_of(text): (first line, end line) pairs."""
-    seen, out = set(), []
-    for i, t in sorted(docs, key=lambda d: order(d[0])):
-        own = (t or "").split("\n")
-        kept, removed = [], 0
-        for a, z in chunks_of(t or ""):
-            body = "\n".join(own[a:z])
-            if z - a >= 2 and body and body in seen:
-                removed += z - a
-            else:
-                kept += own[a:z]
-            if z - a >= 2:
-                seen.add(body)
-        out.append((i, len(own), removed, sha("\n".join(kept))))
+MASK = (1 << 64) - 1
+BASE, SALT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x ^ x >> 31
+
+
+def polynomial(values):
+    total = 0
+    for v in reversed(values):
+        total = (total * BASE + v) & MASK
+    return mix((total + len(values) * SALT) & MASK)
+
+
+BYTES = [mix((i + 1) * BASE & MASK) for i in range(256)]
+
+
+def line_chunks(text, roll=2, divisor=2, least=2):
+    """(first line, end line) pairs."""
+    hashes = [polynomial([BYTES[b] for b in line.encode()]) for line in text.split("\n")]
+    out, start = [], 0
+    for k in range(roll - 1, len(hashes)):
+        if polynomial(hashes[k - roll + 1 : k + 1]) % divisor == 0 and k + 1 - start >= least and len(hashes) - k - 1 >= least:
+            out.append((start, k + 1))
+            start = k + 1
+    return [*out, (start, len(hashes))]
+
+
+def lines(docs):
+    texts = [(i, (t or "").split("\n"), line_chunks(t or "")) for i, t in sorted(docs, key=lambda d: order(d[0]))]
+    first, out = {}, []
+    for n, (i, own, chunks) in enumerate(texts):
+        gone = set()
+        for k, (a, z) in enumerate(chunks):
+            body = tuple(own[a:z])
+            if z - a < 2:
+                continue
+            if body not in first:
+                first[body] = (n, k)
+                continue
+            m, j = first[body]
+            other, its = texts[m][1], texts[m][2]
+            up, down = 0, 0
+            if k and j:
+                while a - up > chunks[k - 1][0] and its[j][0] - up > its[j - 1][0] and own[a - up - 1] == other[its[j][0] - up - 1]:
+                    up += 1
+            if k + 1 < len(chunks) and j + 1 < len(its):
+                while z + down < chunks[k + 1][1] and its[j][1] + down < its[j + 1][1] and own[z + down] == other[its[j][1] + down]:
+                    down += 1
+            gone.update(range(a - up, z + down))
+        out.append((i, len(own), len(gone), sha("\n".join(x for k, x in enumerate(own) if k not in gone))))
     return out
 
 

@@ -377,16 +377,38 @@ def test_substring_dedup_of_random_repeats(spark):
 
 
 def test_line_dedup(docs, none):
-    def chunks(text):
-        data, at = W.text_view(pa.array([text]))
-        return [(a, a + n) for _, a, n, *_ in zip(*op01_line_dedup.line_chunks(data, at), strict=True)]
-
     found = op01_line_dedup.remove_repeated_lines(docs, with_text=False).collect()
-    same(found, brute.lines(DOCS, chunks))
+    same(found, brute.lines(DOCS))
     assert sum(r.n_removed for r in found) > 0
     assert op01_line_dedup.remove_repeated_lines(none).count() == 0
 
 
+def test_line_chunks_are_those_of_the_plain_version():
+    r = random.Random(2)
+    texts = ["\n".join(f"l{r.randrange(30)}é" * r.randint(0, 3) for _ in range(r.randint(1, 60))) for _ in range(50)]
+    for t in texts:
+        assert [(a, a + n) for _, a, n, *_ in zip(*op01_line_dedup.line_chunks(*W.text_view(pa.array([t]))), strict=True)] == brute.line_chunks(t)
+
+
+def test_line_dedup_of_shared_blocks(spark):
+    """Of the lines of a block in four documents with other lines around, the share that goes from the later three."""
+    r = random.Random(5)
+    line = lambda: " ".join(r.choice("abcdefghij") * r.randint(1, 8) + str(r.randrange(10**6)) for _ in range(4))
+    docs, of = [], {}
+    for size in (10, 20, 50):
+        for k in range(60):
+            block = [line() for _ in range(size)]
+            for c in range(4):
+                of[len(docs)] = size, c
+                docs.append((len(docs), "\n".join([*(line() for _ in range(r.randint(0, 15))), *block, *(line() for _ in range(r.randint(0, 15)))])))
+    found = {x.doc_id: x.n_removed for x in op01_line_dedup.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), with_text=False).collect()}
+    assert all(found[i] <= (of[i][0] if of[i][1] else 0) for i in of)
+    for size in (10, 20, 50):
+        recall = sum(found[i] for i in of if of[i][0] == size and of[i][1]) / (60 * 3 * size)
+        print(size, recall)
+        assert recall >= 0.9
+
+
 def test_line_dedup_removes_all_of_a_copy(spark):
     """Cuts that follow each other leave no single lines, which would stay in every copy."""
     docs = [(100 * c + i, "\n".join(f"text {i} line {k}" for k in range(40 + i))) for c in range(2) for i in range(10)]
@@ -435,6 +457,45 @@ def test_warc_ranges_of_any_size(spark, tmp_path):
         assert {i: bytes(x.payload).decode() for i, x in found.items()} == dict(enumerate(payloads))
 
 
+def test_warc_damage_is_an_error():
+    """Each single flipped byte and each place of truncation gives an error for some range, or all records."""
+    import io
+
+    members = [op09_warc.encode_record(i, f"http://x/{i}", bytes([65 + i]) * 3000 + str(i * i).encode() * 20, "response", None) for i in range(5)]
+    raw = b"".join(members)
+    ranges = [(a, min(a + 300, len(raw))) for a in range(0, len(raw), 300)]
+    read = lambda data: [x for a, z in ranges for x in op09_warc.scan_range(io.BytesIO(data), a, z)]
+    whole = read(raw)
+    assert len(whole) == 5
+    r = random.Random(1)
+    failed = 0
+    for k in r.sample(range(len(raw)), 150):
+        bad = bytearray(raw)
+        bad[k] ^= 1 << r.randrange(8)
+        try:
+            assert read(bytes(bad)) == whole  # a field of the gzip head that says nothing about the data
+        except op09_warc.DamagedArchive:
+            failed += 1
+    assert failed > 100
+    cuts = {0, *np.cumsum([len(m) for m in members]).tolist()}
+    for k in r.sample(range(len(raw)), 100):
+        if k not in cuts:
+            with pytest.raises(op09_warc.DamagedArchive):
+                read(raw[:k])
+    with pytest.raises(op09_warc.DamagedArchive):
+        read(members[0] + b"junk" + members[1])
+
+
+def test_lm_counts_beyond_32_bits():
+    keys = np.array([1, 2, 1, 3], np.uint64)
+    columns = [np.array([0xFFFFFFFF, 5, 7, 1], np.uint32), np.array([0xFFFFFFFF, 0, 2, 1], np.uint32)]
+    answers, sums = op03_lm_score._total(0, keys, columns, [0, 2, 4])
+    raw = [len(a).to_bytes(4, "little") + pa.compress(a.tobytes(), codec="zstd", asbytes=True) for a in answers]
+    assert [x.tolist() for x in op03_lm_score._split(raw[:1])] == [[0xFFFFFFFF + 7, 5], [0xFFFFFFFF + 2, 0]]
+    assert [x.tolist() for x in op03_lm_score._split(raw)] == [[0xFFFFFFFF + 7, 5, 0xFFFFFFFF + 7, 1], [0xFFFFFFFF + 2, 0, 0xFFFFFFFF + 2, 1]]
+    assert sums[1] == 0xFFFFFFFF + 13
+
+
 def test_warc_archives_are_plain_gzip(spark, tmp_path):
     import gzip
 
