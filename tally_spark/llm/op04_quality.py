@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import words as W
-from .shared import saved
+from .shared import fresh, saved
 
 FEATURES = [
     "log_bytes", "log_words", "mean_word", "sd_word", "upper", "digit", "punct", "symbol", "space", "non_ascii", "capitalised", "all_caps",
@@ -187,13 +188,25 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score of at least one half. A row's score depends on its text only, so repeated identifiers aren't mixed up."""
-    model = train(saved(features(docs, id_col, text_col), "quality"), labels)
-    names, own = docs.columns, docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of docs with a score of at least one half, with all their columns, whatever their names. A row's score
+    depends on its text only, so null and repeated identifiers aren't mixed up. The rows are stored with their statistics,
+    which are computed once. An empty table gives an empty result."""
+    x = fresh(docs, "_x")
+    names = docs.columns
+    place = names.index(text_col)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, text_col):
-            x = statistics(b.column(names.index(text_col)))
-            yield b.filter(pa.array(log_odds(x, model) >= 0))
+            found = statistics(b.column(place)).astype("<f8")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in found], pa.binary())], [*names, x])
+
+    stored = saved(docs.mapInArrow(measure, StructType([*docs.schema.fields, StructField(x, BinaryType())])), "measured")
+    model = train(stored.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(x).alias("x")), labels)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = np.frombuffer(b"".join(b.column(len(names)).to_pylist()), "<f8").reshape(-1, D)
+                yield b.select(list(range(len(names)))).filter(pa.array(log_odds(found, model) >= 0))
 
-    return docs.mapInArrow(run, own)
+    return stored.mapInArrow(good, docs.schema)
