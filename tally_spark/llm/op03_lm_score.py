@@ -87,17 +87,27 @@ def _total(kind: int, keys: np.ndarray, columns: list[np.ndarray], bounds: list[
     """Both counts of each key over all chunks, in one number; distinct and all words."""
     order, runs, run = C.sorted_groups(keys)
     train, kept = (np.add.reduceat(c[order].astype(np.uint64), runs) for c in columns)
-    # counts of over 2**32 are told as that; the sums below are exact
-    most = np.uint64(0xFFFFFFFF)
-    both = np.minimum(train, most) | (np.minimum(kept, most) << np.uint64(32))
-    out = np.empty(len(keys), np.uint64)
-    out[order] = both[run]
-    return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], {0: int((train > 0).sum()), 1: int(train.sum()), 2: int((kept > 0).sum()), 3: int(kept.sum())}
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    both, high = (train & low) | ((kept & low) << half), (train >> half) | ((kept >> half) << half)
+    out, more = np.empty(len(keys), np.uint64), np.empty(len(keys), np.uint64)
+    out[order], more[order] = both[run], high[run]
+    # the upper halves are sent only where there are any; the last number says so
+    none = np.zeros(1, np.uint64)
+    answers = [np.concatenate([out[a:b], more[a:b], none + np.uint64(1)] if more[a:b].any() else [out[a:b], none]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return answers, {0: int((train > 0).sum()), 1: int(train.sum()), 2: int((kept > 0).sum()), 3: int(kept.sum())}
 
 
 def _split(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = C.unpack_answers(raw, "<u8")
-    return (both & np.uint64(0xFFFFFFFF)).astype(np.float64), (both >> np.uint64(32)).astype(np.float64)
+    """Both counts of each key, of the answers of all ranges."""
+    train, kept = [np.zeros(0)], [np.zeros(0)]
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    for one in raw:
+        both = C.unpack_answers([one], "<u8")
+        n = (len(both) - 1) // (2 if both[-1] else 1)
+        high = both[n : 2 * n] if both[-1] else np.zeros(n, np.uint64)
+        for out, x, y in ((train, both[:n] & low, high & low), (kept, both[:n] >> half, high >> half)):
+            out.append((x | (y << half)).astype(np.float64))
+    return np.concatenate(train), np.concatenate(kept)
 
 
 def _estimates(t: _Tokens, words: np.ndarray, pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,8 @@ The writer stores each page as one gzip member that holds one WARC/1.1 record: t
 names the response with an equal payload. The reader cuts each archive into byte ranges of equal size, one row each. A
 task looks for gzip's magic bytes in its range, takes a candidate as a member only if its start decodes to a WARC
 header, and owns the records that start in its range; the last may end beyond it. After an owned member it goes on at
-the member's end. No index and no reading from the start of an archive is needed, so one large archive is read by as
+the member's end, where another has to start, else the archive is damaged and the task fails; the member after a task's
+last is looked at for that, too. No index and no reading from the start of an archive is needed, so one large archive is read by as
 many tasks as it has ranges.
 
 Archives are opened by URI through pyarrow's file systems, in the folder that all executors share. A task writes under
@@ -121,7 +122,7 @@ class _Window:
     """Bytes of a file from some place on, of which a reader drops what it is done with."""
 
     def __init__(self, file, start: int) -> None:
-        self.file, self.start, self.data = file, start, b""
+        self.file, self.start, self.data = file, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -130,49 +131,74 @@ class _Window:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data, self.start = self.data[to - self.start :], to
+        del self.data[: to - self.start]
+        self.start = to
 
 
-def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The decoded member that starts at the byte and where it ends, or None if none does."""
-    unpack, out, pos, seen = zlib.decompressobj(31), [], at - window.start, b""
+class DamagedArchive(ValueError):
+    """A member breaks off or can't be decoded, or bytes that aren't a member follow one."""
+
+
+def _member(window: _Window, at: int, whole: bool = True) -> tuple[bytes, int] | None:
+    """The decoded member that starts at the byte and where it ends, or None if no WARC head is decoded there. With whole unset, only whether there is one."""
+    unpack, out, pos, seen, known = zlib.decompressobj(31), [], at - window.start, b"", False
     while not unpack.eof:
         if pos >= len(window.data) and not window.more():
+            if known:
+                raise DamagedArchive(f"the member at byte {at} breaks off")
             return None
-        block = window.data[pos : pos + (READ_BYTES if out else 4096)]
+        block = window.data[pos : pos + (READ_BYTES if known else 512)]
         try:
             out.append(unpack.decompress(block))
-        except zlib.error:
+        except zlib.error as error:
+            if known:
+                raise DamagedArchive(f"the member at byte {at} can't be decoded: {error}") from error
             return None
         pos += len(block)
-        seen = (seen + out[-1])[:7]
-        if not b"WARC/1.".startswith(seen):
-            return None
-    return b"".join(out), window.start + pos - len(unpack.unused_data)
+        if not known:
+            seen += out[-1]
+            known = seen.startswith(b"WARC/1.")
+            if not known and not b"WARC/1.".startswith(seen):
+                return None
+            if known and not whole:
+                return b"", at
+    return (b"".join(out), window.start + pos - len(unpack.unused_data)) if known else None
 
 
 def scan_range(file, start: int, stop: int) -> Iterator[bytes]:
-    """The decoded records whose members start in [start, stop)."""
-    window, at = _Window(file, start), start
+    """The decoded records whose members start in [start, stop). Members follow each other without a gap from byte 0 to the
+    file's end; where one doesn't, whoever reads the member before it raises DamagedArchive."""
+    window, at, exact = _Window(file, start), start, start == 0
     while True:
-        found = window.data.find(MAGIC, at - window.start)
-        if found < 0:
-            at = max(at, window.start + len(window.data) - len(MAGIC) + 1)
-            window.drop(min(at, window.start + len(window.data)))
-            if at >= stop or not window.more():
+        if exact:
+            # a member, or the end of the file, is due here
+            if at - window.start >= len(window.data) and not window.more():
                 return
-            continue
-        at = window.start + found
-        if at >= stop:
-            return
-        window.drop(at)
+            window.drop(at)
+            if at >= stop:
+                if _member(window, at, whole=False) is None:
+                    raise DamagedArchive(f"no member at byte {at}, where the one before ends")
+                return
+        else:
+            found = window.data.find(MAGIC, at - window.start)
+            if found < 0:
+                at = max(at, window.start + len(window.data) - len(MAGIC) + 1)
+                window.drop(min(at, window.start + len(window.data)))
+                if at >= stop or not window.more():
+                    return
+                continue
+            at = window.start + found
+            if at >= stop:
+                return
+            window.drop(at)
         member = _member(window, at)
         if member is None:
+            if exact:
+                raise DamagedArchive(f"no member at byte {at}, where one is due")
             at += 1
             continue
         yield member[0]
-        at = member[1]
-        window.drop(min(at, window.start + len(window.data)))
+        at, exact = member[1], True
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -233,5 +259,10 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
 
 
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
+    """The records of pages, written and read back; as many as were written, or an error."""
     archives = write_archives(record_types(pages), new_path(spark, "warc"))
-    return read_archives(archives, with_payload=False)
+    found = saved(read_archives(archives, with_payload=False), "records")
+    written, read = archives.agg(F.sum("records")).first()[0] or 0, found.count()
+    if written != read:
+        raise DamagedArchive(f"{written} records were written and {read} read")
+    return found
