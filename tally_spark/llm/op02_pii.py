@@ -14,7 +14,9 @@ counts is shuffled.
 
 Places are code points, end exclusive. A match's place is the length of all gaps and matches before it, so one pass of
 split and one of extraction are enough. Patterns are possessive and start only where a run of their first class starts
-(or where the last match ended), so long texts cost linear time and no deep recursion; the matches are the same.
+(or where the last match ended), so matching costs time linear in the text and no deep recursion; the matches are the
+same. Places are running sums in steps of doubled width, and candidates are held against base spans in one sorted list,
+so n matches in a text cost n log n.
 
 Defined results: null or empty text has no span. Repeated rows give a row each. A table without candidates trains no
 classifier and adds nothing. Other columns aren't read.
@@ -62,7 +64,8 @@ LABELERS = ["strict", "gazetteer", "cue", "against", "shape"]
 FEATURES = ["kind", "length", "digits", "cased", *LABELERS]
 ROUNDS = 60
 
-_POS = "cast(array() as array<struct<s: bigint, e: bigint>>)"
+#: Steps of the running sums and maxima below: 2 ** 31 places at most, which is what an array holds.
+STEPS = ", ".join(f"{1 << k}L" for k in range(31))
 
 
 def _quoted(pattern: str) -> str:
@@ -74,10 +77,14 @@ def _matches(pattern: str, text: str, may: str = "true") -> tuple[str, str]:
     return f"CASE WHEN {may} THEN regexp_extract_all({text}, {p}, 0) ELSE array() END", f"CASE WHEN {may} THEN split({text}, {p}, -1) ELSE array() END"
 
 
-def _places(m: str, g: str) -> str:
-    """Start and end of each match in m, whose gaps are g."""
-    sizes = f"transform({m}, (x, i) -> named_struct('g', cast(char_length({g}[i]) as bigint), 'n', cast(char_length(x) as bigint)))"
-    return f"aggregate({sizes}, named_struct('p', 0L, 'a', {_POS}), (a, x) -> named_struct('p', a.p + x.g + x.n, 'a', array_append(a.a, named_struct('s', a.p + x.g, 'e', a.p + x.g + x.n))), a -> a.a)"
+def _running(values: str, join: str) -> str:
+    """The sum or maximum of each value of an array and all before it: in step k the value 2 ** k places before is joined, so n values take log2(n) passes."""
+    return f"aggregate(array({STEPS}), {values}, (a, h) -> CASE WHEN h >= size(a) THEN a ELSE transform(a, (v, i) -> CASE WHEN i >= h THEN {join.format('v', 'a[cast(i - h as int)]')} ELSE v END) END)"
+
+
+def _ends(m: str, g: str) -> str:
+    """The end of each match in m, whose gaps are g; there is one more gap, and a null for it."""
+    return _running(f"zip_with({g}, {m}, (y, x) -> cast(char_length(y) as bigint) + char_length(x))", "{} + {}")
 
 
 _DIGITS = "regexp_replace({x}, '[^0-9]', '')"
@@ -124,19 +131,24 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     may = {"email": "contains(_t, '@')", "phone": "contains(_t, '+')"}
     every = BASE | {"wide": "|".join(WIDE.values())}
     found = rows.select("_id", *[F.expr(x).alias(f"_{part}_{kind}") for kind, p in every.items() for part, x in zip("mg", _matches(p, "_t", may.get(kind, "true")), strict=True)])
-    placed = found.select("_id", "_m_wide", "_g_wide", *[f"_m_{k}" for k in BASE], *[F.expr(_places(f"_m_{k}", f"_g_{k}")).alias(f"_p_{k}") for k in every])
-    base = ", ".join(f"filter(transform(_m_{k}, (x, i) -> named_struct('kind', '{k}', 's', _p_{k}[i].s, 'e', _p_{k}[i].e, 'ok', {_valid(k, 'x')})), y -> y.ok)" for k in BASE)
-    before = f"right(_g_wide[i], {CONTEXT})"
-    kind = _kind_of("x")
-    first = f"transform(_m_wide, (x, i) -> named_struct('kind', {kind}, 's', _p_wide[i].s, 'e', _p_wide[i].e, 'v', x, 'b', {before}))"
+    placed = found.select("_id", *[f"_m_{k}" for k in every], "_g_wide", *[F.expr(_ends(f"_m_{k}", f"_g_{k}")).alias(f"_e_{k}") for k in every])
+    # arrays are zipped: an array that a lambda's body took from outside might be made anew for each match
+    span = "'s', e - char_length(x), 'e', e"
+    base = ", ".join(f"filter(zip_with(_m_{k}, _e_{k}, (x, e) -> named_struct('kind', '{k}', {span}, 'ok', x IS NOT NULL AND {_valid(k, 'x')})), y -> y.ok)" for k in BASE)
+    first = f"filter(zip_with(zip_with(_m_wide, _e_wide, (x, e) -> named_struct('kind', {_kind_of('x')}, {span}, 'v', x)), _g_wide, (x, g) -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'v', x.v, 'b', right(g, {CONTEXT}))), x -> x.v IS NOT NULL)"
     spans = placed.select("_id", F.expr(f"concat({base})").alias("_base"), F.expr(first).alias("_first"))
+    # a candidate touches a base span if, of those that start before its end, the last end lies after its start
+    own = "'x', named_struct('kind', {0}.kind, 's', {0}.s, 'e', {0}.e, 'v', {1}, 'b', {2})"
+    events = f"array_sort(concat(transform(_base, y -> named_struct('p', y.s, 't', 1, 'e', y.e, {own.format('y', "''", "''")})), transform(_first, x -> named_struct('p', x.e, 't', 0, 'e', -1L, {own.format('x', 'x.v', 'x.b')}))))"
+    spans = spans.select("_id", "_base", "_first", F.expr(f"CASE WHEN size(_first) > 0 AND size(_base) > 0 THEN {events} END").alias("_events"))
+    free = f"transform(filter(zip_with(_events, {_running('transform(_events, y -> y.e)', 'greatest({}, {})')}, (y, last) -> named_struct('t', y.t, 'x', y.x, 'last', last)), y -> y.t = 0 AND y.last <= y.x.s), y -> y.x)"
+    spans = spans.select("_id", "_base", F.expr(f"CASE WHEN size(_first) > 0 AND size(_base) > 0 THEN {free} ELSE _first END").alias("_apart"))
     votes = _votes("x.v", "x.b", "x.kind")
     length = "CASE WHEN char_length(x.v) < 16 THEN 0 WHEN char_length(x.v) < 24 THEN 1 WHEN char_length(x.v) < 36 THEN 2 WHEN char_length(x.v) < 48 THEN 3 WHEN char_length(x.v) < 80 THEN 4 ELSE 5 END"
     digits = "cast(floor(4.0 * regexp_count(x.v, '[0-9]') / char_length(x.v)) as int)"
     cased = "CASE WHEN x.v RLIKE '[a-z]' AND x.v RLIKE '[A-Z]' THEN 2 WHEN x.v RLIKE '[A-Z]' THEN 1 ELSE 0 END"
     fields = ", ".join(f"'{n}', {x}" for n, x in {"kind": "x.kind", "s": "x.s", "e": "x.e", "length": length, "digits": digits, "cased": cased, **votes}.items())
-    apart = "filter(_first, x -> NOT exists(_base, y -> y.s < x.e AND x.s < y.e))"
-    return spans.select("_id", F.expr("transform(_base, y -> named_struct('kind', y.kind, 's', y.s, 'e', y.e))").alias("_base"), F.expr(f"transform({apart}, x -> named_struct({fields}))").alias("_wide"))
+    return spans.select("_id", F.expr("transform(_base, y -> named_struct('kind', y.kind, 's', y.s, 'e', y.e))").alias("_base"), F.expr(f"transform(_apart, x -> named_struct({fields}))").alias("_wide"))
 
 
 def _kind_of(x: str) -> str:

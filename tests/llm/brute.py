@@ -53,6 +53,63 @@ def pii(text):
     return {k: len(v) for k, v in found.items()}, sha(",".join(f"{k}:{a}:{z}" for k, v in found.items() for a, z in v))
 
 
+def pii_candidates(text):
+    """Matches of the wide patterns with features and votes, spelled out by kind."""
+    patterns = {
+        "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: ?(?:\[at\]|\(at\)|\{at\}) ?| at )[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot )[A-Za-z0-9-]+)+",
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+        "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+        "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}",
+    }
+    cues = {"email": "mail|contact|write|reach", "iban": "iban|account|bank|konto|compte|cuenta", "identity": "ssn|social|security|identity|tax", "phone": "phone|call|tel|fax|mobile|contact", "secret": "token|key|secret|password|passwd|pwd|auth|bearer|credential"}
+    against = "isbn|doi|commit|sha|md5|version|order|invoice|http|path|page|figure"
+    out, last = [], 0
+    for m in re.finditer("|".join(f"(?P<{k}>{p})" for k, p in patterns.items()), text):
+        kind, v, gap = m.lastgroup, m.group(), text[last : m.start()][-40:]
+        last = m.end()
+        digits = sum(c.isdigit() for c in v)
+        near = lambda words: re.search(f"(?i)({words})[^A-Za-z]{{0,12}}$", gap) is not None  # noqa: B023, E731
+        strict = {
+            "secret": 1 if re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}", v) else -1,
+            "identity": 1 if re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", v) else 0,
+            "phone": 1 if re.fullmatch(r"(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", v) else -1,
+            "email": 1 if re.search(r"[\[({]at[\])}]", v) else -1,
+            "iban": 1 if 15 <= len(v.replace(" ", "")) <= 34 else 0,
+        }[kind]
+        gazetteer = {
+            "email": 1 if re.search("(?i)(com|org|net|edu|gov|io|de|fr|es|uk|info|eu)$", v) else 0,
+            "secret": 1 if re.match("AKIA|ASIA|ghp_|gho_|sk-|pk_|xox|AIza|eyJ|glpat-", v) else -1,
+            "iban": 1 if v[:2] in "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split() else 0,
+        }.get(kind, -1)
+        shape = -1 if kind != "secret" else 1 if digits >= 4 and re.search("[A-Za-z]", v) and re.search("[0-9][A-Za-z]+[0-9]", v) else 0 if digits < 2 else -1
+        length = sum(len(v) >= n for n in (16, 24, 36, 48, 80))
+        cased = 2 if re.search("[a-z]", v) and re.search("[A-Z]", v) else 1 if re.search("[A-Z]", v) else 0
+        out.append({"kind": kind, "s": m.start(), "e": m.end(), "length": length, "digits": int(4.0 * digits / len(v)), "cased": cased, "strict": strict, "gazetteer": gazetteer, "cue": 1 if near(cues[kind]) else -1, "against": 0 if near(against) else -1, "shape": shape})
+    return out
+
+
+def naive_bayes(combos, estimate, voters):
+    """Whether features are likelier personal data, learned from counts of features whose last are the votes."""
+    patterns = Counter()
+    for f, n in combos.items():
+        patterns[(f[0], *f[-voters:])] += n
+    posterior = estimate(patterns)
+    weight = {1: Counter(), 0: Counter()}
+    for f, n in combos.items():
+        p = posterior[(f[0], *f[-voters:])]
+        for c, w in ((1, n * p), (0, n * (1 - p))):
+            weight[c]["all"] += w
+            for j, v in enumerate(f):
+                weight[c][j, v] += w
+    levels = [len({f[j] for f in combos}) for j in range(len(next(iter(combos))))]
+
+    def log(c, f):
+        return math.log(weight[c]["all"]) + sum(math.log((weight[c][j, v] + 0.5) / (weight[c]["all"] + 0.5 * levels[j])) for j, v in enumerate(f))
+
+    return lambda f: log(1, f) > log(0, f)
+
+
 def unigram(docs):
     tokens = [(i, SPACE.findall((t or "").translate(LOW)) + [None]) for i, t in docs]
     out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

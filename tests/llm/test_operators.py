@@ -121,6 +121,39 @@ def test_pii_long_runs_take_linear_time(spark):
     same((tuple(r)[:6] for r in op02_pii.redact(docs).collect()), ((i, *n.values(), sha) for i, (n, sha) in enumerate(brute.pii(t) if i != 1 else ({"email": 0, "ip": 0, "card": 0, "phone": 0}, brute.sha("")) for i, t in enumerate(texts))))
 
 
+def test_pii_of_very_many_matches_in_one_text(spark):
+    n = 200_000
+    text = "1.2.3.4 555-12-3456 " * n
+    found = op02_pii.redact(rows(spark, [(1, text)])).collect()[0]
+    assert found.n_ip == n and found.spans.count("identity:") == n and f"identity:{20 * n - 12}:{20 * n - 1}" in found.spans
+
+
+def test_pii_spans_are_those_of_plain_votes(spark):
+    """Added spans: the wide pattern's matches that touch no base span and that a plain chain of votes, estimate and naive Bayes finds likelier than not."""
+    r = random.Random(9)
+    word = lambda: r.choice(["order", "token", "call", "the", "ssn", "iban", "é", "sha"])
+    token = lambda: "".join(r.choice("abcdefABCDEF0123456789") for _ in range(r.choice([20, 32, 40])))
+    value = lambda: r.choice([token, lambda: "x" * 25, lambda: f"{r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", lambda: f"({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}", lambda: "jo at mail dot com", lambda: "DE44 5001 0517 5407 3249 31", lambda: "1.2.3.4", lambda: "a@b.co"])()
+    docs = [(i, " ".join(x for _ in range(6) for x in (word(), word(), value()))) for i in range(200)]
+    found = {d.doc_id: d for d in op02_pii.find_pii(rows(spark, docs)).collect()}
+    combos, of = {}, {}
+    for i, t in docs:
+        base = [(x.kind, x.s, x.e) for x in found[i].base]
+        of[i] = [c for c in brute.pii_candidates(t) if not any(a < c["e"] and c["s"] < z for _, a, z in base)]
+        for c in of[i]:
+            f = tuple(c[n] for n in op02_pii.FEATURES)
+            combos[f] = combos.get(f, 0) + 1
+    likelier = brute.naive_bayes(combos, op02_pii.estimate, len(op02_pii.LABELERS))
+    added = 0
+    for i, _ in docs:
+        base = [(x.kind, x.s, x.e) for x in found[i].base]
+        own = [(c["kind"], c["s"], c["e"]) for c in of[i] if likelier(tuple(c[n] for n in op02_pii.FEATURES))]
+        added += len(own)
+        expected = sorted(base + own, key=lambda x: (op02_pii.KINDS.index(x[0]), x[1]))
+        assert [(x.kind, x.s, x.e) for x in found[i].spans] == expected
+    assert 0 < added < sum(combos.values())
+
+
 def test_pii_estimates():
     patterns = {("secret", 1, 1, 1, -1, 1): 40, ("secret", -1, -1, -1, -1, 0): 400, ("secret", 1, -1, 1, -1, 1): 30, ("secret", -1, -1, -1, 0, 0): 20}
     found = op02_pii.estimate(patterns)
