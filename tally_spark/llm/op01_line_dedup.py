@@ -12,7 +12,8 @@ Documents are stored once, compressed, many to a row. Chunks are looked for by a
 their bytes; only those whose hash is repeated are carried on with their bytes and their neighbours', and what decides is
 a grouping by the bytes themselves, so that chunks with one hash and different bytes aren't taken for one. A group's
 occurrences are pre-aggregated to its first in each task, and the occurrences are joined to that, a join that adaptive
-execution splits where a chunk is very frequent.
+execution splits where a chunk is very frequent. The joins are asked to shuffle at any size: a small input's plan is a
+large one's.
 
 Defined results: lines end at a newline only; a null or empty text is one empty line and never removed. Of rows with the
 same identifier one counts as the earlier; a null identifier is smaller than any other. An empty table gives an empty
@@ -114,7 +115,7 @@ def occurrences(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     asked = wanted.groupBy("chunk").agg(F.collect_list(F.struct("row", "line")).alias("asked"))
-    return chunks.join(asked, "chunk").select(*chunks.columns, "asked").mapInArrow(run, "hash long, id long, chunk long, row int, line int, lines int, body binary, before binary, after binary")
+    return chunks.join(asked.hint("shuffle_merge"), "chunk").select(*chunks.columns, "asked").mapInArrow(run, "hash long, id long, chunk long, row int, line int, lines int, body binary, before binary, after binary")
 
 
 def _alike(a: list[bytes], b: list[bytes]) -> int:
@@ -141,13 +142,13 @@ def removed_chunks(chunks: DataFrame) -> DataFrame:
     every = saved(places(chunks), "places")
     # stored, here and below: a join with a shuffle of its own on both sides can be split where a chunk is very frequent
     frequent = saved(every.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hash"), "frequent")
-    again = saved(occurrences(chunks, every.join(frequent, "hash").select("chunk", "row", "line")), "lines")
+    again = saved(occurrences(chunks, every.join(frequent.hint("shuffle_merge"), "hash").select("chunk", "row", "line")), "lines")
     for x in (every, frequent):
         drop(x)
     place = F.struct("id", "chunk", "row", "line")
     first = again.groupBy("hash", "body").agg(F.min(F.struct("id", "chunk", "row", "line", "before", "after")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     first = saved(first.select("hash", "body", F.struct(*[F.col(f"_first.{c}").alias(c) for c in ("id", "chunk", "row", "line")]).alias("_first"), F.col("_first.before").alias("_before"), F.col("_first.after").alias("_after")), "first")
-    later = again.join(first, ["hash", "body"]).filter(~place.eqNullSafe(F.col("_first")))
+    later = again.join(first.hint("shuffle_merge"), ["hash", "body"]).filter(~place.eqNullSafe(F.col("_first")))
     gone = saved(later.select("chunk", "row", "line", "lines", "before", "after", "_before", "_after").mapInArrow(_extended, "chunk long, row int, line int, lines int"), "gone")
     for x in (again, first):
         drop(x)
@@ -187,4 +188,4 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     names = [id_col, "n_lines", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     schema = f"`{id_col}` long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return chunks.join(gone, "chunk", "left").select(*chunks.columns, "gone").mapInArrow(keep, schema)
+    return chunks.join(gone.hint("shuffle_merge"), "chunk", "left").select(*chunks.columns, "gone").mapInArrow(keep, schema)
