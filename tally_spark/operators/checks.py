@@ -62,30 +62,30 @@ def as_break(df: DataFrame, kind: str, details: dict[str, Column], **columns: Co
     unset = {"date": F.lit(None).cast("date"), "account_id": F.lit(None).cast("string"), "currency": F.lit(None).cast("string"), "magnitude_cents": F.lit(0), "ledger_refs": F.expr(_NO_REFS), "warehouse_refs": F.expr(_NO_REFS)}
     found = unset | columns
     found["magnitude_cents"] = found["magnitude_cents"].cast("bigint")
-    struct = F.struct(*[(details[k] if k in details else F.lit(None)).cast(t).alias(k) for k, t in DETAILS.items()])
+    struct = F.struct(*[details[k].cast(t).alias(k) if k in details else F.expr(f"cast(null as {t}) AS `{k}`") for k, t in DETAILS.items()])
     return df.select(F.lit(kind).alias("type"), F.lit(TYPES[kind][0]).alias("level"), *[found[c].alias(c) for c in BREAK[2:-1]], struct.alias("details"))
 
 
 def without_surplus(left: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """Unmatched rows but the first n - 1 of a key that its file has n times: those are the duplicate check's.
+    """Unmatched rows of both sides but the first n - 1 of a key that its file has n times: those are the duplicate check's.
 
-    Counts are taken of unmatched rows' keys only, so the whole file is read once and only its matching keys are counted."""
+    Counts are taken of unmatched rows' keys only, so the files are read once and only their matching keys are counted."""
     own = left.withColumn("business_key", business_key())
-    counts = all_rows.withColumn("business_key", business_key()).join(own.select("business_key").distinct(), "business_key", "left_semi").groupBy("business_key").agg(F.count(F.lit(1)).alias("_n"))
-    nth = F.row_number().over(Window.partitionBy("business_key").orderBy(*sort_columns()))
-    return own.join(counts, "business_key").withColumn("_nth", nth).filter("_n = 1 OR _nth = _n")
-
-
-def _absent(df: DataFrame, kind: str, side: str) -> DataFrame:
-    details = {"amount": money(F.col("amount_cents")), "status": F.col("status"), "txn_id": F.col("txn_id")}
-    columns = {f"{side}_refs": F.array(ref())}
-    return as_break(df, kind, details, date=F.col("posted_date"), account_id=F.col("account_id"), currency=F.col("currency"), magnitude_cents=F.col("amount_cents"), **columns)
+    keyed = all_rows.withColumn("business_key", business_key())
+    counts = keyed.join(own.select("source", "business_key").distinct(), ["source", "business_key"], "left_semi").groupBy("source", "business_key").agg(F.count(F.lit(1)).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("source", "business_key").orderBy(*sort_columns()))
+    return own.join(counts, ["source", "business_key"]).withColumn("_nth", nth).filter("_n = 1 OR _nth = _n")
 
 
 @check
 def completeness(c: Context) -> DataFrame:
-    missing = _absent(without_surplus(c.left_ledger, c.ledger), "missing_in_target", "ledger")
-    return missing.unionByName(_absent(without_surplus(c.left_warehouse, c.warehouse), "orphan_in_target", "warehouse"))
+    found = without_surplus(c.left_ledger.unionByName(c.left_warehouse), c.ledger.unionByName(c.warehouse))
+    details = {"amount": money(F.col("amount_cents")), "status": F.col("status"), "txn_id": F.col("txn_id")}
+    refs = {f"{s}_refs": F.when(F.col("source") == s, F.array(ref())).otherwise(F.expr(_NO_REFS)) for s in ("ledger", "warehouse")}
+    columns = {"date": F.col("posted_date"), "account_id": F.col("account_id"), "currency": F.col("currency"), "magnitude_cents": F.col("amount_cents")}
+    # both kinds are of the same level
+    both = as_break(found, "missing_in_target", details, **columns, **refs)
+    return both.withColumn("type", F.when(F.size("ledger_refs") > 0, "missing_in_target").otherwise("orphan_in_target"))
 
 
 def daily(c: Context) -> DataFrame:

@@ -6,9 +6,13 @@ side's rows). A match is named by its single row, or by the ledger's where both
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from datetime import timedelta
+from heapq import nsmallest
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +49,14 @@ def _probe(x: Column) -> Column:
 def composite_edges(ledger: DataFrame, warehouse: DataFrame, settings: Settings) -> DataFrame:
     """Possible pairs of pass 2: same account and currency, near in days and cents. l and w are the rows, days and cents the order in which a warehouse row looks for its ledger row.
 
-    Warehouse rows are repeated for each day of the window, so the join is on equal keys and a long history of one account doesn't meet itself."""
+    Warehouse rows are repeated for each day of the window and for neighbouring steps of cents, so the join is on equal keys,
+    and neither a long history of one account nor a busy day of it meets itself."""
     window = settings.timing_window_days
-    w = warehouse.select(F.struct(*ROW).alias("w"), "account_id", "currency", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("_shift")).withColumn("_day", F.expr("date_add(w.posted_date, _shift)"))
-    joined = ledger.select(F.struct(*ROW).alias("l"), "account_id", "currency", F.col("posted_date").alias("_day")).join(w, ["account_id", "currency", "_day"])
+    # amounts within the tolerance lie in one step of tolerance + 1 cents or in neighbouring ones
+    step = lambda cents: F.floor(cents / F.lit(settings.tolerance_cents + 1)).cast("long")
+    w = warehouse.select(F.struct(*ROW).alias("w"), "account_id", "currency", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("_shift"))
+    w = w.withColumn("_day", F.expr("date_add(w.posted_date, _shift)")).withColumn("_step", F.explode(F.sequence(step(F.col("w.amount_cents")) - 1, step(F.col("w.amount_cents")) + 1)))
+    joined = ledger.select(F.struct(*ROW).alias("l"), "account_id", "currency", F.col("posted_date").alias("_day"), step(F.col("amount_cents")).alias("_step")).join(w, ["account_id", "currency", "_day", "_step"])
     apart = F.col("l.amount_cents") - F.col("w.amount_cents")
     return joined.filter(F.abs(apart) <= settings.tolerance_cents).select("account_id", "currency", "l", "w", _probe(F.col("_shift")).cast("int").alias("days"), _probe(apart).alias("cents"))
 
@@ -113,41 +121,68 @@ def find_legs(target: int, amounts: list[int], tolerance: int, max_legs: int) ->
     return next((list(path) for path, total in below(0, (), 0) if len(path) >= 2 and abs(total - target) <= tolerance), None)
 
 
+def _splits(rows: list[dict], settings: Settings) -> Iterator[tuple[str, list[dict]]]:
+    """The splits among the rows of one account, currency, sign and run of days: name, and the one row before its legs."""
+    for r in rows:
+        r["key"] = (r["posted_date"], r["account_id"], r["amount_cents"], r["txn_id"] or "", r["row_number"])
+    sides = {s: sorted((r for r in rows if r["source"] == s), key=lambda r: r["key"]) for s in ("ledger", "warehouse")}
+    days = {s: [r["posted_date"] for r in own] for s, own in sides.items()}
+    window, used = timedelta(days=settings.timing_window_days), set()
+    for side, other in (("ledger", "warehouse"), ("warehouse", "ledger")):
+        for one in sides[side]:
+            if (side, one["row_number"]) in used:
+                continue
+            target = one["amount_cents"]
+            near = sides[other][bisect_left(days[other], one["posted_date"] - window) : bisect_right(days[other], one["posted_date"] + window)]
+            free = (r for r in near if (other, r["row_number"]) not in used and abs(r["amount_cents"]) <= abs(target) + settings.tolerance_cents)
+            pool = nsmallest(settings.max_split_candidates, free, key=lambda r: (-abs(r["amount_cents"]), r["key"]))
+            legs = find_legs(target, [r["amount_cents"] for r in pool], settings.tolerance_cents, settings.max_split_legs)
+            if legs is not None:
+                chosen = [one, *(pool[i] for i in legs)]
+                used.update((r["source"], r["row_number"]) for r in chosen)
+                yield f"{side[0]}{one['row_number']}", chosen
+
+
 def match_splits(ledger: DataFrame, warehouse: DataFrame, settings: Settings) -> DataFrame:
-    """Pass 3: one row of a side against several of the other, first with the ledger's as the one. By account, currency and island of days."""
-    rows = ledger.select(*ROW).unionByName(warehouse.select(*ROW))
-    located = rows.join(_islands(rows, settings.timing_window_days), ["account_id", "currency", "posted_date"])
-    both = F.collect_set("source").over(Window.partitionBy("account_id", "currency", "island"))
-    # an island with rows of one side only has nothing to pair
-    located = located.withColumn("_sides", F.size(both)).filter("_sides = 2").select(*ROW, "island")
-    window, tolerance = settings.timing_window_days, settings.tolerance_cents
-
-    def search(own: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(zip(ROW, r, strict=True)) for r in own[ROW].itertuples(index=False, name=None)]
-        for r in rows:
-            r["txn_id"] = r["txn_id"] if isinstance(r["txn_id"], str) else None
-            r["key"] = (r["posted_date"], r["account_id"], r["amount_cents"], r["txn_id"] or "", r["row_number"])
-        rows.sort(key=lambda r: r["key"])
-        used: set[tuple] = set()
-        out = []
-        for side, other in (("ledger", "warehouse"), ("warehouse", "ledger")):
-            for one in rows:
-                if one["source"] != side or (side, one["row_number"]) in used:
-                    continue
-                target = one["amount_cents"]
-                pool = [r for r in rows if r["source"] == other and (other, r["row_number"]) not in used and abs((r["posted_date"] - one["posted_date"]).days) <= window and (r["amount_cents"] < 0) == (target < 0) and abs(r["amount_cents"]) <= abs(target) + tolerance]
-                pool.sort(key=lambda r: (-abs(r["amount_cents"]), r["key"]))
-                pool = pool[: settings.max_split_candidates]
-                legs = find_legs(target, [r["amount_cents"] for r in pool], tolerance, settings.max_split_legs)
-                if legs is None:
-                    continue
-                name = f"{side[0]}{one['row_number']}"
-                for pos, r in [(0, one), *enumerate(pool[i] for i in legs)]:
-                    used.add((r["source"], r["row_number"]))
-                    out.append((name, "split", pos, *(r[c] for c in ROW)))
-        return pd.DataFrame(out, columns=MEMBER)
-
-    return located.groupBy("account_id", "currency", "island").applyInPandas(search, MEMBER_SCHEMA)
+    """Pass 3: one row of a side against several of the other, first with the ledger's as the one.
+
+    Only rows of one account, currency and sign can meet, and only within a run of days without a gap over the window. Rows
+    are sorted by these within their partition, which may spill, and pass by; a task holds one run of days at a time."""
+    window = settings.timing_window_days
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run: list[dict] = []
+        last, out = None, []
+
+        def table(schema: pa.Schema) -> pa.RecordBatch:
+            fields = [pa.field("match_id", pa.string()), pa.field("strategy", pa.string()), pa.field("leg_pos", pa.int32()), *(schema.field(c) for c in ROW)]
+            return pa.RecordBatch.from_pylist(out, pa.schema(fields))
+
+        def finish() -> None:
+            sides = {r["source"] for r in run}
+            if len(run) > 2 and len(sides) == 2:
+                for name, chosen in _splits(run, settings):
+                    out.extend({"match_id": name, "strategy": "split", "leg_pos": max(k - 1, 0), **{c: r[c] for c in ROW}} for k, r in enumerate(chosen))
+            run.clear()
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for r in batch.to_pylist():
+                place = (r["account_id"], r["currency"], r["_below"])
+                if run and (place != last or (r["posted_date"] - run[-1]["posted_date"]).days > window):
+                    finish()
+                last = place
+                run.append(r)
+            if out:
+                yield table(schema)
+                out.clear()
+        finish()
+        if out:
+            yield table(schema)
+
+    rows = ledger.select(*ROW).unionByName(warehouse.select(*ROW)).withColumn("_below", F.col("amount_cents") < 0)
+    return rows.repartition("account_id", "currency", "_below").sortWithinPartitions("account_id", "currency", "_below", "posted_date").mapInArrow(search, MEMBER_SCHEMA)
 
 
 def match_rows(ledger: DataFrame, warehouse: DataFrame, settings: Settings, keep=lambda df, name: df.cache()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,16 +202,25 @@ def match_rows(ledger: DataFrame, warehouse: DataFrame, settings: Settings, keep
 
 
 def matches(members: DataFrame) -> DataFrame:
-    """One row for each match: totals, days, statuses in order of legs, refs."""
+    """One row for each match: totals, days, statuses in order of legs, refs. Matches of two rows are a join; only splits are grouped."""
+    row = F.struct("posted_date", "status", "amount_cents", F.concat_ws(":", "source", F.col("row_number").cast("string")).alias("ref"))
+    pairs = members.filter("strategy <> 'split'")
+    l = pairs.filter("source = 'ledger'").select("match_id", "strategy", "account_id", "currency", row.alias("l"))
+    w = pairs.filter("source = 'warehouse'").select("match_id", row.alias("w"))
+    two = l.join(w, "match_id").select(
+        "match_id", "strategy", F.col("l.amount_cents").alias("ledger_cents"), F.col("w.amount_cents").alias("warehouse_cents"), F.col("w.posted_date").alias("_last"), F.col("l.posted_date").alias("partition_date"),
+        F.array("l.status").alias("ledger_statuses"), F.array("w.status").alias("warehouse_statuses"), F.array("l.ref").alias("ledger_refs"), F.array("w.ref").alias("warehouse_refs"), F.struct("account_id", "currency").alias("_first"),
+    )
     side = lambda s, c: F.when(F.col("source") == s, c)
     ordered = lambda s: F.transform(F.array_sort(F.collect_list(side(s, F.struct("leg_pos", "status")))), lambda x: x["status"])
     refs = lambda s: F.array_sort(F.collect_list(side(s, F.concat_ws(":", "source", F.col("row_number").cast("string")))))
     cents = lambda s: F.sum(side(s, F.col("amount_cents")))
     first = F.min_by(F.struct("account_id", "currency"), side("ledger", F.col("leg_pos")))
-    return members.groupBy("match_id", "strategy").agg(
+    several = members.filter("strategy = 'split'").groupBy("match_id", "strategy").agg(
         cents("ledger").alias("ledger_cents"), cents("warehouse").alias("warehouse_cents"), F.max(side("warehouse", F.col("posted_date"))).alias("_last"), F.min(side("ledger", F.col("posted_date"))).alias("partition_date"),
         ordered("ledger").alias("ledger_statuses"), ordered("warehouse").alias("warehouse_statuses"), refs("ledger").alias("ledger_refs"), refs("warehouse").alias("warehouse_refs"), first.alias("_first"),
-    ).select("*", (F.col("warehouse_cents") - F.col("ledger_cents")).alias("delta_cents"), F.datediff("_last", "partition_date").alias("delta_days"), "_first.*").drop("_last", "_first")
+    )
+    return two.unionByName(several).select("*", (F.col("warehouse_cents") - F.col("ledger_cents")).alias("delta_cents"), F.datediff("_last", "partition_date").alias("delta_days"), "_first.*").drop("_last", "_first")
 
 
 def summary(ledger: DataFrame, members: DataFrame, left_l: DataFrame, left_w: DataFrame) -> DataFrame:

@@ -81,12 +81,11 @@ def _cte(day: str = "") -> dict[str, str]:
         f"b_value{d}": _break("value_mismatch", "row", f"compared{d}", {"fields": "fields", "band": "band", "strategy": "strategy", "ledger_amount": _money("lc"), "warehouse_amount": _money("wc"), "amount_delta": _money("(wc - lc)"), "date_delta_days": "dd", "ledger_status": joined("ls"), "warehouse_status": joined("ws")}, "pd", "account_id", "currency", "wc - lc", "l_refs", "w_refs"),
         f"b_total{d}": _break("control_total_mismatch", "aggregate", f"days{d}", {"delta": _money("(wt - lt)"), "ledger_total": _money("lt"), "warehouse_total": _money("wt")}, "posted_date", "NULL", "currency", "wt - lt", where="wt <> lt"),
         f"b_count{d}": _break("row_count_mismatch", "aggregate", f"days{d}", {"delta": "CAST(wn - ln AS VARCHAR)", "ledger_rows": "ln", "warehouse_rows": "wn"}, "posted_date", "NULL", "currency", where="wn <> ln"),
-        f"b_all{d}": " UNION ALL ".join(f"SELECT * FROM b_{x}{d}" for x in ("missing", "orphan", "dup", "value", "total", "count")),
+        f"b_drift{d}": _break("schema_drift", "aggregate", "(SELECT 1)", {"kind": "'column_added'", "column": "'batch_id'", "warehouse_type": "'string'"}),
+        f"b_all{d}": " UNION ALL ".join(f"SELECT * FROM b_{x}{d}" for x in ("missing", "orphan", "dup", "value", "total", "count", *["drift"] * bool(d))),
         f"brk{d}": f"SELECT 'brk_' || substr(digest, 1, 12) AS id, *, 'cls_' || substr(sha256(type || '|' || signature), 1, 10) AS cluster_id FROM (SELECT *, sha256({_json_payload()}) AS digest, {_SIGNATURE} AS signature FROM b_all{d})",
         f"subject{d}": f"SELECT digest, array_to_string(list_sort(list(k)), '|') AS subject FROM (SELECT digest, unnest(CASE WHEN len(l_refs) > 0 THEN l_refs ELSE w_refs END) AS r FROM brk{d} WHERE type IN ('missing_in_target', 'orphan_in_target', 'value_mismatch')) x JOIN (SELECT CONCAT(source, ':', row_number) AS r, {_key(':')} AS k FROM (SELECT * FROM led{d} UNION ALL SELECT * FROM wh{d})) y USING (r) GROUP BY 1",
-        f"keyed{d}": f"SELECT *, CASE WHEN n = 1 THEN base ELSE base || '#' || n END AS break_key FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY base ORDER BY digest) AS n FROM (SELECT b.*, type || '|' || CASE WHEN type IN ('control_total_mismatch', 'row_count_mismatch') THEN CAST(date AS VARCHAR) || '|' || currency WHEN type = 'duplicate' THEN d_source || '|' || d_business_key ELSE subject END AS base FROM brk{d} b LEFT JOIN subject{d} USING (digest)))",
-        # keys of daily breaks only, for the history queries: they need no matching
-        f"dkeys{d}": f"SELECT type || '|' || CAST(date AS VARCHAR) || '|' || currency AS break_key, type, currency, magnitude_cents, 'cls_' || substr(sha256(type || '|' || {_SIGNATURE}), 1, 10) AS cluster_id FROM (SELECT * FROM b_total{d} UNION ALL SELECT * FROM b_count{d})",
+        f"keyed{d}": f"SELECT *, CASE WHEN n = 1 THEN base ELSE base || '#' || n END AS break_key FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY base ORDER BY digest) AS n FROM (SELECT b.*, type || '|' || CASE WHEN type IN ('control_total_mismatch', 'row_count_mismatch') THEN CAST(date AS VARCHAR) || '|' || currency WHEN type = 'duplicate' THEN d_source || '|' || d_business_key WHEN type = 'schema_drift' THEN d_kind || '|' || d_column ELSE subject END AS base FROM brk{d} b LEFT JOIN subject{d} USING (digest)))",
     }
 
 
@@ -117,7 +116,7 @@ CTES = {
     "chosen": "SELECT * FROM (SELECT * FROM open_clusters ORDER BY rank LIMIT 40) UNION SELECT * FROM (SELECT * FROM open_clusters ORDER BY break_count DESC, rank LIMIT 10)",
     "open_clusters": "SELECT * FROM clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM balance WHERE unexplained = 0)",
     "outcomes": "SELECT CASE WHEN type = 'missing_in_target' THEN 'missing' WHEN type = 'orphan_in_target' AND d_txn_id LIKE 'WHS-ORPHAN-%' THEN 'orphan' WHEN type = 'duplicate' THEN 'duplicated' WHEN type = 'value_mismatch' THEN CASE d_band WHEN 'date_shifted' THEN 'timing' WHEN 'sub_tolerance' THEN 'rounding' WHEN 'material' THEN 'material' ELSE 'status' END END AS kind, CASE WHEN type = 'missing_in_target' THEN 'MISSING_IN_TARGET' WHEN type = 'orphan_in_target' THEN 'GENUINE_DISCREPANCY' WHEN type = 'duplicate' THEN 'DUPLICATE_IN_TARGET' WHEN d_band = 'date_shifted' THEN 'TIMING_DIFFERENCE' WHEN d_band = 'sub_tolerance' THEN 'ROUNDING' ELSE 'GENUINE_DISCREPANCY' END AS expected, classification AS actual FROM brk JOIN verdicts USING (cluster_id) WHERE level = 'row'",
-    "runs_1_2": "SELECT b.break_key, b.type, b.cluster_id, CASE WHEN a.break_key IS NULL THEN 2 ELSE 1 END AS first_seen FROM dkeys_2 b LEFT JOIN dkeys a USING (break_key)",
+    "runs_1_2": "SELECT b.break_key, b.type, b.cluster_id, CASE WHEN a.break_key IS NULL THEN 2 ELSE 1 END AS first_seen FROM keyed_2 b LEFT JOIN keyed a USING (break_key)",
 }
 
 
@@ -164,17 +163,18 @@ _BODY = {
     "attribution_components": f"SELECT v.cluster_id, v.measure, v.cause, {_LABEL.replace('cause', 'v.cause')} AS label, breaks, value FROM (SELECT cluster_id, measure, cause, CAST(SUM(day) AS BIGINT) AS value, MAX(CASE WHEN day <> 0 THEN 1 ELSE 0 END) AS touched FROM (SELECT cluster_id, measure, cause, date, currency, SUM(moved) AS day FROM met GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3) v JOIN (SELECT cluster_id, cause, COUNT(DISTINCT sid) AS breaks FROM met GROUP BY 1, 2) i ON i.cluster_id = v.cluster_id AND i.cause = v.cause WHERE touched = 1",
     "attribution_summary": "SELECT *, unexplained = 0 AS explained FROM balance",
     "stable_keys": "SELECT break_key, id, type FROM keyed",
-    "history_diff": "SELECT break_key, CASE WHEN first_seen = 2 THEN 'new' ELSE 'still_open' END AS state, r.type, magnitude_cents FROM runs_1_2 r JOIN dkeys_2 USING (break_key) UNION ALL SELECT break_key, 'resolved', type, magnitude_cents FROM dkeys WHERE break_key NOT IN (SELECT break_key FROM dkeys_2)",
-    "history_streaks": "SELECT a.break_key, CAST(CASE WHEN r.break_key IS NULL THEN 3 ELSE r.first_seen END AS BIGINT) AS first_seen FROM dkeys a LEFT JOIN runs_1_2 r USING (break_key)",
+    "history_diff": "SELECT break_key, CASE WHEN first_seen = 2 THEN 'new' ELSE 'still_open' END AS state, r.type, magnitude_cents FROM runs_1_2 r JOIN keyed_2 USING (break_key) UNION ALL SELECT break_key, 'resolved', type, magnitude_cents FROM keyed WHERE break_key NOT IN (SELECT break_key FROM keyed_2)",
+    "history_sections": "SELECT state, type, COUNT(*) AS breaks, CAST(COALESCE(SUM(CASE WHEN level = 'row' THEN ABS(magnitude_cents) END), 0) AS BIGINT) AS row_level_cents FROM (SELECT CASE WHEN first_seen = 2 THEN 'new' ELSE 'still_open' END AS state, r.type, level, magnitude_cents FROM runs_1_2 r JOIN keyed_2 USING (break_key) UNION ALL SELECT 'resolved', type, level, magnitude_cents FROM keyed WHERE break_key NOT IN (SELECT break_key FROM keyed_2)) GROUP BY 1, 2",
+    "history_streaks": "SELECT a.break_key, CAST(CASE WHEN r.break_key IS NULL THEN 3 ELSE r.first_seen END AS BIGINT) AS first_seen FROM keyed a LEFT JOIN runs_1_2 r USING (break_key)",
     "history_age": "SELECT cluster_id, COUNT(*) FILTER (WHERE first_seen = 2) AS new, COUNT(*) FILTER (WHERE first_seen < 2) AS carried, CAST(MIN(first_seen) FILTER (WHERE first_seen < 2) AS BIGINT) AS since FROM runs_1_2 GROUP BY 1",
     "schema_changes": "SELECT 'warehouse' AS source, 'column_added' AS change, 'batch_id' AS \"column\", CAST(NULL AS VARCHAR) AS from_type, 'string' AS to_type",
     "investigation_targets": "SELECT cluster_id, type, break_count, magnitude_cents FROM chosen",
     "adjacent_periods": _ADJACENT.format(wanted="(SELECT CONCAT(source, ':', row_number) AS key, account_id, currency, posted_date AS date, amount_cents AS cents FROM (SELECT * FROM left_l UNION ALL SELECT * FROM left_w))"),
     "fetch_rows": f"SELECT {_ROW} FROM led WHERE account_id = 'ACC-0007' ORDER BY {_SORT} LIMIT 20",
-    "offline_classification": f"SELECT cluster_id, classification, CASE WHEN classification = 'UNKNOWN' THEN {UNSURE} ELSE {CONFIDENCE} END AS confidence FROM verdicts",
+    "offline_classification": f"SELECT cluster_id, classification, CAST(CASE WHEN classification = 'UNKNOWN' THEN {UNSURE} ELSE {CONFIDENCE} END AS DOUBLE) AS confidence FROM verdicts",
     "classification_summary": "SELECT COALESCE(v.classification, CASE WHEN b.unexplained = 0 THEN 'EXPLAINED' END, 'NOT_INVESTIGATED') AS classification, COUNT(*) AS clusters, CAST(SUM(c.break_count) AS BIGINT) AS breaks, CAST(SUM(ABS(c.magnitude_cents)) AS BIGINT) AS magnitude_cents FROM clusters c LEFT JOIN (SELECT * FROM verdicts WHERE cluster_id IN (SELECT cluster_id FROM chosen)) v USING (cluster_id) LEFT JOIN balance b USING (cluster_id) GROUP BY 1",
     "eval_recall": "SELECT kind, expected, COUNT(*) AS breaks, COUNT(*) FILTER (WHERE actual = expected) AS correct, ROUND(COUNT(*) FILTER (WHERE actual = expected) * 1.0 / COUNT(*), 3) AS recall FROM outcomes WHERE kind IS NOT NULL GROUP BY 1, 2",
-    "eval_calibration": f"SELECT '0.7-0.9' AS band, COUNT(*) AS breaks, {CONFIDENCE} AS mean_confidence, ROUND(COUNT(*) FILTER (WHERE actual = expected) * 1.0 / COUNT(*), 3) AS accuracy FROM outcomes WHERE kind IS NOT NULL",
+    "eval_calibration": f"SELECT '0.7-0.9' AS band, COUNT(*) AS breaks, CAST({CONFIDENCE} AS DOUBLE) AS mean_confidence, ROUND(COUNT(*) FILTER (WHERE actual = expected) * 1.0 / COUNT(*), 3) AS accuracy FROM outcomes WHERE kind IS NOT NULL",
 }
 
 

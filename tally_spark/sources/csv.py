@@ -117,10 +117,12 @@ def digest(spark: SparkSession, path: str) -> tuple[str, int]:
 
 
 def digest_rows(rows: DataFrame) -> str:
-    """A digest of rows that have no file, whatever their order: sums of two 64-bit hashes as exact decimals, and the count."""
-    h = rows.select(F.xxhash64(*ROW).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit("second"), *ROW).cast("decimal(38,0)").alias("b"))
-    r = h.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return hashlib.sha256(f"{r.a}|{r.b}|{r.n}".encode()).hexdigest()
+    """A digest of rows that have no file, whatever their order: sums of two 64-bit hashes, exact, and the count. A hash is summed in parts of 16 bits, which no number of rows makes overflow."""
+    hashes = rows.select(F.xxhash64(*ROW).alias("a"), F.xxhash64(F.lit("second"), *ROW).alias("b"))
+    parts = [F.sum(F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF)).alias(f"{x}{k}") for x in ("a", "b") for k in range(4)]
+    r = hashes.agg(*parts, F.count(F.lit(1)).alias("n")).first()
+    a, b = (sum((r[f"{x}{k}"] or 0) << 16 * k for k in range(4)) for x in ("a", "b"))
+    return hashlib.sha256(f"{a}|{b}|{r.n}".encode()).hexdigest()
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

@@ -1,4 +1,4 @@
-"""The history queries of all types of breaks, which have no SQL, against a plain version."""
+"""The history queries against a plain version."""
 
 from collections import Counter
 
@@ -36,16 +36,16 @@ def test_history_of_all_types(spark):
     assert {"missing_in_target", "orphan_in_target", "duplicate", "value_mismatch", "control_total_mismatch", "row_count_mismatch", "schema_drift"} == types
     diff = [(k, "still_open" if k in one else "new", b) for k, b in two.items()] + [(k, "resolved", b) for k, b in one.items() if k not in two]
     assert len({state for _, state, _ in diff}) == 3
-    assert Counter(tuple(r) for r in queries.QUERIES["history_diff_all"](spark, AT).collect()) == Counter((k, s, b.type, b.magnitude_cents) for k, s, b in diff)
+    assert Counter(tuple(r) for r in queries.QUERIES["history_diff"](spark, AT).collect()) == Counter((k, s, b.type, b.magnitude_cents) for k, s, b in diff)
 
     # run 3 has day one's breaks again
-    assert {tuple(r) for r in queries.QUERIES["history_streaks_all"](spark, AT).collect()} == {(k, 1 if k in two else 3) for k in one}
+    assert {tuple(r) for r in queries.QUERIES["history_streaks"](spark, AT).collect()} == {(k, 1 if k in two else 3) for k in one}
 
     ages = {}
     for k, b in two.items():
         new, carried = ages.get(b.cluster_id, (0, 0))
         ages[b.cluster_id] = (new + (k not in one), carried + (k in one))
-    assert {(r.cluster_id, r.new, r.carried, r.since) for r in queries.QUERIES["history_age_all"](spark, AT).collect()} == {(c, n, o, 1 if o else None) for c, (n, o) in ages.items()}
+    assert {(r.cluster_id, r.new, r.carried, r.since) for r in queries.QUERIES["history_age"](spark, AT).collect()} == {(c, n, o, 1 if o else None) for c, (n, o) in ages.items()}
 
     sections = {}
     for _, state, b in diff:
