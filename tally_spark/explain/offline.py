@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,34 +23,30 @@ ACTIONS = {
 }
 
 
+#: By type, and band or direction where these decide: the class, and what was looked at. Types and classes are fixed values.
+RULES = {
+    ("missing_in_target", "near"): ("TIMING_DIFFERENCE", "rows with its account, currency and amount on days around it: {adjacent}"),
+    ("missing_in_target", ""): ("MISSING_IN_TARGET", "rows with its account, currency and amount on its day and days around it: none"),
+    ("orphan_in_target", "near"): ("TIMING_DIFFERENCE", "rows with its account, currency and amount on days around it: {adjacent}"),
+    ("orphan_in_target", ""): ("GENUINE_DISCREPANCY", "rows with its account, currency and amount on its day and days around it: none"),
+    ("duplicate", ""): ("DUPLICATE_IN_TARGET", "copies of the key in the {source}: {occurrences}, rows {row_numbers}"),
+    ("value_mismatch", "sub_tolerance"): ("ROUNDING", "amounts {ledger_amount} and {warehouse_amount}; difference {amount_delta}, tolerance not exceeded"),
+    ("value_mismatch", "date_shifted"): ("TIMING_DIFFERENCE", "amounts {ledger_amount} and {warehouse_amount}; days between them {date_delta_days}"),
+    ("value_mismatch", ""): ("GENUINE_DISCREPANCY", "fields that differ: {fields}; amounts {ledger_amount} and {warehouse_amount}, status {ledger_status} and {warehouse_status}"),
+    ("control_total_mismatch", ""): ("UNKNOWN", "totals {ledger_total} and {warehouse_total}; the rows behind them weren't looked at"),
+    ("row_count_mismatch", "fewer"): ("MISSING_IN_TARGET", "rows {ledger_rows} and {warehouse_rows}"),
+    ("row_count_mismatch", ""): ("DUPLICATE_IN_TARGET", "rows {ledger_rows} and {warehouse_rows}"),
+    ("schema_drift", ""): ("SCHEMA_DRIFT", "{summary}"),
+}
+
+
 def verdict(kind: str, details: dict, adjacent: int) -> tuple[str, str]:
-    """Classification and reason."""
-    if kind == "missing_in_target":
-        if adjacent > 0:
-            return "TIMING_DIFFERENCE", "A row of the same account, currency and amount lies on a neighbouring day, as with late settlement."
-        return "MISSING_IN_TARGET", "No warehouse row of this account, currency and amount lies on the day or next to it."
-    if kind == "orphan_in_target":
-        if adjacent > 0:
-            return "TIMING_DIFFERENCE", "An equal row lies on a neighbouring day, so the warehouse row is early or late."
-        return "GENUINE_DISCREPANCY", "The warehouse has a row for which the ledger has nothing near."
-    if kind == "duplicate":
-        return "DUPLICATE_IN_TARGET", f"One business key occurs {details.get('occurrences')} times in the {details.get('source')}, as when a load is repeated."
-    if kind == "value_mismatch":
-        band = details.get("band")
-        if band == "sub_tolerance":
-            return "ROUNDING", f"The amounts differ by {details.get('amount_delta')}, within the tolerance."
-        if band == "date_shifted":
-            return "TIMING_DIFFERENCE", f"The amounts agree; the warehouse posted {details.get('date_delta_days')} day(s) later."
-        return "GENUINE_DISCREPANCY", f"Matched rows differ in {details.get('fields')}."
-    if kind == "control_total_mismatch":
-        return "UNKNOWN", "A daily total follows from rows; this rule table doesn't look for the rows behind it."
-    if kind == "row_count_mismatch":
-        if int(details.get("delta") or 0) < 0:
-            return "MISSING_IN_TARGET", "The warehouse has fewer rows than the ledger on this day."
-        return "DUPLICATE_IN_TARGET", "The warehouse has more rows than the ledger on this day."
-    if kind == "schema_drift":
-        return "SCHEMA_DRIFT", str(details.get("summary"))
-    return "UNKNOWN", f"No rule for breaks of type {kind}."
+    """Classification and what it rests on."""
+    fewer = kind == "row_count_mismatch" and int(details.get("delta") or 0) < 0
+    case = "near" if adjacent > 0 else "fewer" if fewer else details.get("band") or ""
+    name, seen = RULES.get((kind, case)) or RULES.get((kind, ""), ("UNKNOWN", "type {type}, for which there is no rule"))
+    known = defaultdict(lambda: "unknown", {k: v for k, v in details.items() if v is not None}) | {"adjacent": adjacent, "type": kind}
+    return name, seen.format_map(known)
 
 
 def classified(clusters: DataFrame, breaks: DataFrame, c: Context) -> DataFrame:

@@ -9,8 +9,10 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from .finding import Usage
 from .loop import ProviderError, QuotaExhausted
@@ -90,96 +92,120 @@ APIS = {
 }
 
 
-class HttpProvider:
-    """Retries with growing or server-given waits; stops calling once a quota is used up or calls keep failing."""
-
-    def __init__(self, name: str, model: str, key: str | None, send: Send = send_http, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.name, self.model, self.usage = name, model, Usage()
-        self._api, self._key, self._send, self._sleep = APIS[name], key, send, sleep
-        self._stopped, self._failures = "", 0
+@dataclass(frozen=True)
+class Reply:
+    """What came back from one request; status 0 where nothing did and text says why."""
+
+    status: int
+    headers: dict[str, str]
+    text: str
+
+    @cached_property
+    def error(self) -> dict:
+        """The error object that all of these services put into a refusal's body."""
+        with suppress(ValueError):
+            body = json.loads(self.text)
+            if isinstance(body, dict) and isinstance(body.get("error"), dict):
+                return body["error"]
+        return {}
 
-    def complete(self, system: str, transcript: list[dict[str, str]]) -> str:
-        if self._stopped:
-            raise ProviderError(f"{self.name}: not called, {self._stopped}")
+    @property
+    def notes(self) -> list[dict]:
+        return [x for x in self.error.get("details") or () if isinstance(x, dict)]
+
+    @property
+    def exhausted(self) -> str:
+        """Which allowance is gone for longer than a run lasts; empty if none is."""
+        if self.status != 429:
+            return ""
+        if self.error.get("code") == "insufficient_quota":
+            return "no credit left on the account"
+        gone = [str(v.get("quotaId")) for x in self.notes for v in x.get("violations") or () if "PerDay" in str(v.get("quotaId"))]
+        return f"allowance of the day spent: {', '.join(gone)}" if gone else ""
+
+    @property
+    def passing(self) -> bool:
+        """Whether the same request may succeed later."""
+        return self.status == 0 or self.status == 429 or self.status >= 500
+
+    @property
+    def asked_for(self) -> float | None:
+        """Seconds that the server wants to be left alone, from the header or a note ("1.5s")."""
+        wishes = [self.headers.get("retry-after"), *(x.get("retryDelay") for x in self.notes)]
+        numbers = [re.fullmatch(r"([0-9]+(?:[.][0-9]+)?)s?", str(w)) for w in wishes if w]
+        return next((float(n[1]) for n in numbers if n), None)
+
+    def __str__(self) -> str:
+        said = " ".join(str(self.error.get("message") or self.text).split())[:300]
+        return f"status {self.status}, {said}" if self.status else said
+
+
+class Breaker:
+    """Lets calls through until one finds the allowance spent, or IN_A_ROW have failed without a success between."""
+
+    def __init__(self) -> None:
+        self.opened, self.failed = "", 0
+
+    @contextmanager
+    def call(self, name: str) -> Iterator[None]:
+        if self.opened:
+            raise ProviderError(f"{name}: skipped, since {self.opened}")
         try:
-            out = self._call(system, transcript)
-        except QuotaExhausted:
-            self._stopped = "its quota was used up earlier in this run"
+            yield
+        except QuotaExhausted as error:
+            self.opened = f"an earlier call said: {error}"
             raise
         except ProviderError:
-            self._failures += 1
-            if self._failures >= IN_A_ROW:
-                self._stopped = f"{IN_A_ROW} calls in a row failed"
+            self.failed += 1
+            self.opened = f"the last {IN_A_ROW} calls all failed" if self.failed == IN_A_ROW else ""
             raise
-        self._failures = 0
-        return out
-
-    def _call(self, system: str, transcript: list[dict[str, str]]) -> str:
-        began, (raw, waited) = time.monotonic(), self._post(json.dumps(self._api.body(self.model, system, transcript)).encode())
-        try:
-            payload = json.loads(raw)
-        except json.JSONDecodeError as error:
-            raise ProviderError(f"{self.name}: the answer isn't JSON ({error})") from error
-        spent = self._api.usage(payload)
-        self.usage += replace(spent, calls=1, latency_ms=max(round((time.monotonic() - began) * 1000), 0), wait_ms=round(waited * 1000))
-        text = self._api.text(payload)
-        if not text:
-            raise ProviderError(f"{self.name}: the answer has no text")
-        return text
-
-    def _post(self, body: bytes) -> tuple[str, float]:
-        headers, waited = {"content-type": "application/json", **self._api.headers(self._key or "")}, 0.0
-        for attempt in range(1, ATTEMPTS + 1):
-            wait = 2.0**attempt * random.uniform(0.5, 1)
-            try:
-                status, got, text = self._send(self._api.url(self.model), headers, body, self._api.timeout)
-            except OSError as error:
-                reason = f"{type(error).__name__}: {error}"
-            else:
-                if 200 <= status < 300:
-                    return text, waited
-                problem = _error(text)
-                if status == 429 and (gone := _quota(problem)):
-                    raise QuotaExhausted(f"{self.name}: {gone}")
-                reason = f"HTTP {status}: {re.sub(r'\s+', ' ', str(problem.get('message') or text)).strip()[:300]}"
-                if status != 429 and status < 500:
-                    raise ProviderError(f"{self.name}: {reason}")
-                wait = _server_wait(got, problem) or wait
-            if attempt == ATTEMPTS:
-                raise ProviderError(f"{self.name}: {reason}")
-            wait = min(wait, LONGEST_WAIT)
-            waited += wait
-            self._sleep(wait)
-        raise AssertionError
-
-
-def _error(text: str) -> dict:
-    try:
-        found = json.loads(text).get("error")
-    except (json.JSONDecodeError, AttributeError):
-        return {}
-    return found if isinstance(found, dict) else {}
-
+        self.failed = 0
 
-def _details(problem: dict) -> list[dict]:
-    return [d for d in problem.get("details") or [] if isinstance(d, dict)]
 
+class HttpProvider:
+    """One model behind one of the APIS."""
 
-def _server_wait(headers: dict[str, str], problem: dict) -> float | None:
-    for text in (headers.get("retry-after", ""), *(str(d.get("retryDelay", "")) for d in _details(problem))):
-        if m := re.fullmatch(r"(\d+(?:\.\d+)?)s?", text):
-            return float(m[1])
-    return None
+    def __init__(self, name: str, model: str, key: str | None, send: Send = send_http, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.name, self.model, self.usage, self.breaker = name, model, Usage(), Breaker()
+        self.api, self.send, self.sleep = APIS[name], send, sleep
+        self.headers = {"content-type": "application/json"} | self.api.headers(key or "")
 
+    def complete(self, system: str, transcript: list[dict[str, str]]) -> str:
+        with self.breaker.call(self.name):
+            return self._read(*self._persist(json.dumps(self.api.body(self.model, system, transcript)).encode()))
 
-def _quota(problem: dict) -> str | None:
-    if problem.get("code") == "insufficient_quota":
-        return f"quota used up ({problem.get('message')})"
-    for d in _details(problem):
-        for v in d.get("violations") or []:
-            if "PerDay" in str(v.get("quotaId", "")):
-                return f"daily quota used up ({v['quotaId']}, limit {v.get('quotaValue')})"
-    return None
+    def _once(self, body: bytes) -> Reply:
+        try:
+            return Reply(*self.send(self.api.url(self.model), self.headers, body, self.api.timeout))
+        except OSError as error:
+            return Reply(0, {}, f"{type(error).__name__}: {error}")
+
+    def _persist(self, body: bytes) -> tuple[str, float, float]:
+        """The text of the first good reply, seconds since the first request, and how many of these were pauses between requests."""
+        began, paused = time.monotonic(), 0.0
+        for left in reversed(range(ATTEMPTS)):
+            reply = self._once(body)
+            if 200 <= reply.status < 300:
+                return reply.text, time.monotonic() - began, paused
+            if reply.exhausted:
+                raise QuotaExhausted(f"{self.name}: {reply.exhausted} ({reply})")
+            if not (left and reply.passing):
+                break
+            own = 2.0 ** (ATTEMPTS - left) * random.uniform(0.5, 1)
+            pause = min(reply.asked_for or own, LONGEST_WAIT)
+            self.sleep(pause)
+            paused += pause
+        raise ProviderError(f"{self.name}: {reply}")
+
+    def _read(self, raw: str, took: float, paused: float) -> str:
+        try:
+            payload = json.loads(raw)
+        except ValueError as error:
+            raise ProviderError(f"{self.name}: a reply that isn't JSON: {error}") from error
+        self.usage += replace(self.api.usage(payload), calls=1, latency_ms=round(took * 1000), wait_ms=round(paused * 1000))
+        if text := self.api.text(payload):
+            return text
+        raise ProviderError(f"{self.name}: a reply without text")
 
 
 def build(name: str, model: str | None, send: Send = send_http, sleep: Callable[[float], None] = time.sleep) -> HttpProvider:

@@ -1,9 +1,10 @@
-"""The machine-readable report. Clusters and summaries are small; breaks are, too, in files meant for people, and go to a folder beside it if they are many."""
+"""The machine-readable report. Clusters and summaries are small; breaks are written one by one as they come from Spark."""
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import asdict
 
 from .. import VERSION
@@ -11,9 +12,6 @@ from ..functions.money import money_text
 from ..operators.checks import TYPES
 from ..plans.run import Report
 
-#: Breaks beyond this number are written by Spark into PATH.breaks instead of into the document.
-INLINE = 100_000
-
 
 def summary(report: Report) -> dict:
     by: dict[str, dict] = {}
@@ -55,7 +53,8 @@ def _cluster(report: Report, c: dict) -> dict:
     return out | ({"history": report.history["cluster_ages"].get(c["cluster_id"])} if report.history else {})
 
 
-def document(report: Report, with_breaks: bool = True) -> dict:
+def head(report: Report) -> dict:
+    """The document without its breaks, which come last."""
     return {
         "schema_version": 1,
         "engine_version": VERSION,
@@ -68,16 +67,27 @@ def document(report: Report, with_breaks: bool = True) -> dict:
         "agent": {"enabled": report.settings.explain, "provider": report.settings.provider, "model_backed": any(f.model_backed for f in report.findings), "clusters_investigated": len(report.findings), "degraded": sum(f.degraded for f in report.findings), "usage": usage(report)},
         "history": report.history,
         "clusters": [_cluster(report, c) for c in report.clusters],
-        "breaks": [_break(r.asDict(recursive=True)) for r in report.breaks.orderBy("type", "digest").toLocalIterator()] if with_breaks else None,
     }
 
 
+def breaks(report: Report) -> Iterator[dict]:
+    """All breaks in order, of which the driver holds one partition at a time."""
+    for r in report.breaks.orderBy("type", "digest").toLocalIterator():
+        yield _break(r.asDict(recursive=True))
+
+
+def document(report: Report) -> dict:
+    return head(report) | {"breaks": list(breaks(report))}
+
+
 def write(report: Report, path: str) -> str:
+    """The document, with all breaks however many, each on a line of its own."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    inline = sum(report.breaks_by_type.values()) <= INLINE
-    if not inline:
-        report.breaks.write.mode("overwrite").json(f"{path}.breaks")
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(document(report, inline), f, indent=2, default=str)
-        f.write("\n")
+        f.write(json.dumps(head(report), indent=2, default=str).removesuffix("\n}") + ',\n  "breaks": [')
+        between = "\n    "
+        for b in breaks(report):
+            f.write(between + json.dumps(b, default=str))
+            between = ",\n    "
+        f.write("\n  ]\n}\n")
     return path

@@ -1,6 +1,7 @@
 """Checks, clusters, attribution, history, explanation and the command line on small inputs."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,14 +204,14 @@ def test_provider_retries_waits_and_stops(monkeypatch):
     queue += [answer(429, {"error": {"code": "insufficient_quota", "message": "none left"}})]
     with pytest.raises(loop.QuotaExhausted):
         p.complete("s", [])
-    with pytest.raises(loop.ProviderError, match="not called"):
+    with pytest.raises(loop.ProviderError, match="skipped, since an earlier call"):
         p.complete("s", [])
     p = providers.build("openai", "m", send, slept.append)
     queue += [answer(400, {"error": {"message": "bad"}})] * 3
     for _ in range(3):
         with pytest.raises(loop.ProviderError, match="bad"):
             p.complete("s", [])
-    with pytest.raises(loop.ProviderError, match="3 calls in a row"):
+    with pytest.raises(loop.ProviderError, match="skipped, since the last 3 calls"):
         p.complete("s", [])
 
 
@@ -233,6 +234,7 @@ def test_provider_needs_a_key(monkeypatch):
 
 def test_reports(report, tmp_path):
     d = document.document(report)
+    assert json.loads(Path(document.write(report, str(tmp_path / "r.json"))).read_text()) == json.loads(json.dumps(d, default=str))
     assert d["schema_version"] == 1 and len(d["breaks"]) == d["summary"]["break_count"] and list(d)[:3] == ["schema_version", "engine_version", "run"]
     page = html.render(report)
     assert "<script" not in page and report.fingerprint in page
