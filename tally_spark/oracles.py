@@ -177,6 +177,9 @@ _BODY = {
     "eval_calibration": f"SELECT '0.7-0.9' AS band, COUNT(*) AS breaks, CAST({CONFIDENCE} AS DOUBLE) AS mean_confidence, ROUND(COUNT(*) FILTER (WHERE actual = expected) * 1.0 / COUNT(*), 3) AS accuracy FROM outcomes WHERE kind IS NOT NULL",
 }
 
+_BODY["csv_scan"] = f"SELECT txn_id, account_id, posted_date, amount_cents, currency, status FROM ({_BODY['normalize_rows']})"
+_BODY["csv_row_numbers"] = "SELECT COUNT(*) AS row_count, CAST(1 AS BIGINT) AS first_number, COUNT(*) AS last_number, COUNT(*) AS numbers FROM raw"
+
 
 def _needed(body: str) -> list[str]:
     """Names of the expressions that the text uses, each after those that it uses itself."""

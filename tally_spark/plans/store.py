@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,29 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests, one machine) a folder under the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tally-shared").rstrip("/")
+    """spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a folder under the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = current.get() if current.isDefined() else None
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir isn't set, and with master {master} no other folder is known to be shared")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tally-shared"
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder that goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tally-{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and read again: cuts lineage, and rows keep what was computed for them even if an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/tally-{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((df.sparkSession, path))
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

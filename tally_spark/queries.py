@@ -11,7 +11,7 @@ from .explain import offline, tools
 from .functions.keys import business_key, ref
 from .functions.money import cents_from_text, humane, money
 from .operators import attribution, breaks, checks, history, matching, profile
-from .plans.store import stored
+from .plans.store import new_path, stored
 from .sources import csv
 
 SETTINGS = Settings()
@@ -73,6 +73,28 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and scalar functions
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untidy columns written as CSV files, and read back as text with row numbers."""
+
+    def make() -> DataFrame:
+        path = new_path(spark, "csv")
+        _raw(spark, sf_dir).drop("row_number").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        return csv.read_text(spark, path)
+
+    return _once("csv", spark, sf_dir, make)
+
+
+def csv_scan(spark, sf_dir):
+    rows = _read(spark, sf_dir)
+    csv.require_columns(rows.columns)
+    return csv.parsed(rows, "ledger").select("txn_id", "account_id", "posted_date", "amount_cents", "currency", "status")
+
+
+def csv_row_numbers(spark, sf_dir):
+    """Numbers run from 1 without a gap over all files."""
+    return _read(spark, sf_dir).agg(F.count(F.lit(1)).alias("row_count"), F.min("row_number").alias("first_number"), F.max("row_number").alias("last_number"), F.countDistinct("row_number").alias("numbers"))
+
+
 def normalize_rows(spark, sf_dir):
     return csv.parsed(_raw(spark, sf_dir), "ledger").select("row_number", "txn_id", "account_id", "posted_date", "amount_cents", "currency", "status")
 
@@ -361,7 +383,7 @@ def next_day(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_rows, amount_to_cents, money_format, infer_column_types, first_bad_row, business_keys, profile_summary, profile_partitions, status_histogram, duplicate_keys, match_exact, unmatched_after_exact,
+        csv_scan, csv_row_numbers, normalize_rows, amount_to_cents, money_format, infer_column_types, first_bad_row, business_keys, profile_summary, profile_partitions, status_histogram, duplicate_keys, match_exact, unmatched_after_exact,
         composite_edges, match_composite, match_composite_contested, match_split, match_summary, unmatched_final, check_missing, check_orphan, check_control_totals, check_row_counts, check_duplicates, check_values,
         value_bands, check_schema_drift, break_ids, breaks_by_type, row_level_impact, clusters_ranked, cluster_samples, attribution_effects, attribution_components, attribution_summary, stable_keys, history_diff,
         history_streaks, history_sections, schema_changes, history_age, investigation_targets, adjacent_periods, fetch_rows, offline_classification, classification_summary, eval_recall, eval_calibration,
