@@ -12,7 +12,8 @@ words. Only DataFrame functions are used.
 
 Defined results: null text or text without words has no hit; an item without words has no window. An item with a null
 identifier marks words but isn't counted or listed. Repeated items count once; repeated documents each give a row. A
-document without rows gives none; an empty benchmark leaves all clean. Other columns aren't read.
+table without documents gives no rows; an empty benchmark leaves all clean. Other columns aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ def windows(items: DataFrame, size: int = ITEM_WINDOW) -> DataFrame:
 def with_prefix(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """found with _prefix, the rarest word of each window, and _at, its first place there."""
     places = found.select("_window", F.posexplode("_w").alias("_at", "_word"))
-    vocabulary = _sized(places.select(F.col("_word").alias("_known")).distinct(), found)
+    known = places.select(F.col("_word").alias("_known")).distinct()
+    vocabulary = F.broadcast(known) if _small(found) else known
     corpus = docs.select(F.explode(marked_words(F.col(f"`{text_col}`"))).alias("_word"))
     counts = corpus.join(vocabulary, F.col("_word") == F.col("_known"), "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("_count"))
     ranked = places.join(counts, "_word").groupBy("_window").agg(F.min(F.struct("_count", "_word", "_at")).alias("_best"), F.count(F.lit(1)).alias("_present"))
@@ -60,23 +62,45 @@ def with_prefix(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return joined.select("_window", "_w", "_items", F.col("_best._word").alias("_prefix"), F.col("_best._at").alias("_at"))
 
 
-def _sized(df: DataFrame, stored: DataFrame) -> DataFrame:
-    """df, marked for broadcast if the windows in stored are within the bound."""
+def _small(stored: DataFrame) -> bool:
+    """Whether the windows in stored are within the bound for a broadcast."""
     size = stored.agg(F.sum(F.octet_length(F.array_join("_w", " ")) + F.octet_length(F.array_join("_items", ",")) + 200)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return size <= BROADCAST_BYTES
+
+
+def _fits(start: Column) -> Column:
+    return (start >= 1) & (start + F.size("_w") - 1 <= F.col("_n"))
+
+
+def _found_beside(prefixed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row, _id, _n, _spans (s, e) and _found (items) of each document, with the windows sent to every executor: words stay where they are."""
+    start = F.col("_place") - F.col("_at")
+    places = _counted(docs, id_col, text_col).select("_id", "_row", "_n", "_words", F.posexplode("_words").alias("_place", "_word"))
+    joined = places.join(F.broadcast(prefixed), F.col("_word") == F.col("_prefix"), "left").filter((F.col("_place") == 0) | (_fits(start) & (F.slice("_words", F.greatest(start + 1, F.lit(1)), F.size("_w")) == F.col("_w"))))
+    rows = joined.select("_id", "_row", "_n", F.when(F.col("_place") > 0, F.struct(start.alias("s"), (start + F.size("_w")).alias("e"))).alias("_span"), F.when(F.col("_place") > 0, F.col("_items")).alias("_items"))
+    return rows.groupBy("_row").agg(F.max("_id").alias("_id"), F.max("_n").alias("_n"), F.array_sort(F.collect_set("_span")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_found"))
+
+
+def _found_apart(prefixed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same with both sides shuffled by word: a word goes alone, with its row and place, and only places where a window fits come back to their document, once for each document."""
+    words = saved(_counted(docs, id_col, text_col), "words")
+    start = F.col("_place") - F.col("_at")
+    places = words.select("_row", "_n", F.posexplode("_words").alias("_place", "_word")).filter("_place > 0")
+    met = places.join(prefixed.select("_w", "_items", "_prefix", "_at"), F.col("_word") == F.col("_prefix")).filter(_fits(start))
+    # stored, so that the joins on both sides of it can be split where a word is very frequent
+    met = saved(met.select("_row", F.struct(start.alias("s"), "_w", "_items").alias("x")), "met")
+    joined = words.join(met.groupBy("_row").agg(F.collect_list("x").alias("_x")), "_row", "left")
+    hit = F.filter(F.coalesce("_x", F.expr("cast(array() AS array<struct<s: int, _w: array<string>, _items: array<string>>>)")), lambda x: F.slice("_words", x["s"] + 1, F.size(x["_w"])) == x["_w"])
+    sure = joined.select("_row", "_id", "_n", hit.alias("_hit"))
+    spans = F.transform("_hit", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.size(x["_w"])).alias("e")))
+    return sure.select("_row", "_id", "_n", F.array_sort(F.array_distinct(spans)).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("_hit", lambda x: x["_items"])))).alias("_found"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated, spans (start and end word of each window found)."""
     found = saved(windows(items), "windows")
     prefixed = saved(with_prefix(found, docs, text_col), "prefixes")
-    keyed = _sized(prefixed, prefixed)
-    start = F.col("_place") - F.col("_at")
-    fits = (start >= 1) & (start + F.size("_w") - 1 <= F.col("_n"))
-    places = _counted(docs, id_col, text_col).select("_id", "_row", "_n", "_words", F.posexplode("_words").alias("_place", "_word"))
-    joined = places.join(keyed, F.col("_word") == F.col("_prefix"), "left").filter((F.col("_place") == 0) | (fits & (F.slice("_words", F.greatest(start + 1, F.lit(1)), F.size("_w")) == F.col("_w"))))
-    rows = joined.select("_id", "_row", "_n", F.when(F.col("_place") > 0, F.struct(start.alias("s"), (start + F.size("_w")).alias("e"))).alias("_span"), F.when(F.col("_place") > 0, F.col("_items")).alias("_items"))
-    each = rows.groupBy("_row").agg(F.max("_id").alias("_id"), F.max("_n").alias("_n"), F.array_sort(F.collect_set("_span")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_found"))
+    each = _found_beside(prefixed, docs, id_col, text_col) if _small(prefixed) else _found_apart(prefixed, docs, id_col, text_col)
     covered = F.aggregate(
         "_spans",
         F.struct(F.lit(0).alias("e"), F.lit(0).alias("n")),
