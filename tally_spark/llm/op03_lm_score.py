@@ -88,12 +88,17 @@ def _total(kind: int, keys: np.ndarray, columns: list[np.ndarray], bounds: list[
     order, runs, run = C.sorted_groups(keys)
     train, kept = (np.add.reduceat(c[order].astype(np.uint64), runs) for c in columns)
     low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
-    both, high = (train & low) | ((kept & low) << half), (train >> half) | ((kept >> half) << half)
-    out, more = np.empty(len(keys), np.uint64), np.empty(len(keys), np.uint64)
-    out[order], more[order] = both[run], high[run]
-    # the upper halves are sent only where there are any; the last number says so
-    none = np.zeros(1, np.uint64)
-    answers = [np.concatenate([out[a:b], more[a:b], none + np.uint64(1)] if more[a:b].any() else [out[a:b], none]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def told(x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys), np.uint64)
+        out[order] = x[run]
+        return out
+
+    # the upper halves are made and sent only where there are any; the last number says so
+    out = told((train & low) | ((kept & low) << half))
+    more = told((train >> half) | ((kept >> half) << half)) if len(train) and train.max() > low else None
+    one = np.ones(1, np.uint64)
+    answers = [np.concatenate([out[a:b], more[a:b], one] if more is not None and more[a:b].any() else [out[a:b], one - one]) for a, b in zip(bounds, bounds[1:], strict=False)]
     return answers, {0: int((train > 0).sum()), 1: int(train.sum()), 2: int((kept > 0).sum()), 3: int(kept.sum())}
 
 
