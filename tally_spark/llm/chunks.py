@@ -56,7 +56,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
             sizes.append(np.diff(at))
             texts.append(data.tobytes())
             held += len(data)
-            words += len(W.spans(data, at, W.WHITE)[0])
+            words += W.count_words(data, at, W.WHITE)
             if held >= chunk_bytes:
                 yield row()
                 nth, ids, sizes, texts, held, words = nth + 1, [], [], [], 0, 0

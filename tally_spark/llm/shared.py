@@ -12,7 +12,9 @@ from ..plans.store import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For the job that writes a table: its shuffle files go when it is done, not when the driver collects its garbage; and
+#: fewer rows go to a Python worker at once, since a row is a whole text.
+CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -28,12 +30,14 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # this job's shuffle files go when it is done, not when the driver collects its garbage
+    before = {k: spark.conf.get(k, None) for k in CONF}
+    for k, v in CONF.items():
+        spark.conf.set(k, v)
     try:
         (writer.partitionBy(*by) if by else writer).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

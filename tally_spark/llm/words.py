@@ -97,6 +97,16 @@ def spans(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(at[1:], starts, side="right")
 
 
+def count_words(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> int:
+    """How many words spans() finds."""
+    inside = ~separator[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = at[(at > 0) & (at < len(data))]
+    first[edges] = inside[edges]
+    return int(first.sum())
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
