@@ -7,7 +7,8 @@ documents. Sequence numbers rise by length (the bucket), so a bucket's sequences
 Text is tokenized whole. The tokenizer's byte-level pattern splits text into short parts that it encodes one by one, so
 the parts are found with numpy over a slice of texts, each distinct part is encoded once, and its ids are copied to all
 its places; equal hashes are verified byte for byte. Texts with characters outside the range for which the classes are
-certain go through the tokenizer itself.
+certain go through the tokenizer itself. A text of more than a slice is cut where white space follows another sign, which
+always is between two parts, and its slices are encoded one by one: beyond a slice a worker holds a text and its ids.
 
 Defined results: null or empty text is the end id alone, one piece of length 1. Repeated rows are packed each. An empty
 table gives no pieces. The strings of special tokens are ordinary text. Other columns aren't read.
@@ -28,10 +29,14 @@ from . import words as W
 from .shared import saved
 
 MAX_LEN, END_ID = 2048, 1
-#: Distinct parts that a worker remembers before it starts anew.
-REMEMBERED = 250_000
+#: Distinct parts that a worker remembers: when the newer half is full, it becomes the older one and what was that goes.
+REMEMBERED = 200_000
+#: Text bytes encoded at once.
+SLICE_BYTES = 1 << 18
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 LIMIT = 0x250
+#: ASCII that is seen: white space after it starts a part.
+SEEN = W.byte_table((0x21, 0x7E))
 
 
 def _classes() -> np.ndarray:
@@ -60,7 +65,7 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 def tokenizer_for(path: str | None):
-    """The tokenizer, a function for one part (None if the file's rules aren't those of part_starts), and its remembered parts; loaded once by each worker."""
+    """The tokenizer, a function for one part (None if the file's rules aren't those of part_starts), and its remembered parts, newer and older; loaded once by each worker."""
     if path not in _state:
         import json
 
@@ -79,7 +84,7 @@ def tokenizer_for(path: str | None):
             ranks = _ranks(json.load(f))
         # parts are split already, so the pattern has to take each whole
         one = tiktoken.Encoding("parts", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
-        _state[path] = (found, one, {})
+        _state[path] = (found, one, [{}, {}])
     return _state[path]
 
 
@@ -116,6 +121,19 @@ def part_starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ids(part: bytes, one_part, known: list[dict[bytes, bytes]]) -> bytes:
+    newer, older = known
+    found = newer.get(part)
+    if found is None:
+        found = older.get(part)
+        if found is None:
+            found = np.array(one_part(part.decode()), dtype=np.uint32).tobytes()
+        if len(newer) >= REMEMBERED // 2:
+            known[:] = newer, _ = {}, newer
+        newer[part] = found
+    return found
+
+
 def encode(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts, each followed by end_id, and the n + 1 offsets of the texts."""
     tokenizer, one_part, known = tokenizer_for(path)
@@ -146,14 +164,7 @@ def encode(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> tu
             plain, starts, ends, text_of, one, which = np.zeros(n, bool), starts[:0], ends[:0], text_of[:0], one[:0], which[:0]
     raw = data.tobytes()
     parts = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-    missing = [p for p in parts if p not in known]
-    if missing:
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = parts
-        for p in missing:
-            known[p] = np.array(one_part(p.decode()), dtype=np.uint32).tobytes()
-    coded = [known[p] for p in parts]
+    coded = [_ids(p, one_part, known) for p in parts]
     sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
     flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
     places = np.cumsum(sizes) - sizes
@@ -176,6 +187,34 @@ def encode(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> tu
     return out, id_at
 
 
+def slices(text: np.ndarray, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Start and end of slices of one text whose ids, put together, are the text's. Each is of limit bytes at least but for the last, and ends where white space follows a seen sign."""
+    out, start = [], 0
+    while start < len(text):
+        stop = len(text)
+        at = start + limit
+        while at < len(text):
+            near = text[at - 1 : at + limit]
+            cuts = np.flatnonzero(SEEN[near[:-1]] & W.WHITE[near[1:]])
+            if len(cuts):
+                stop = at + int(cuts[0])
+                break
+            at += limit
+        out.append((start, stop))
+        start = stop
+    return out
+
+
+def encode_long(text: pa.Array, path: str | None = None, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """encode() of one text, slice by slice if the tokenizer's parts are known."""
+    data, _ = W.text_view(text)
+    if tokenizer_for(path)[1] is None or len(data) <= SLICE_BYTES:
+        return encode(text, path, end_id)
+    ids = [encode(pa.array([data[a:z].tobytes().decode()]), path, end_id)[0][:-1] for a, z in slices(data)]
+    out = np.concatenate([*ids, np.array([end_id], dtype=np.uint32)])
+    return out, np.array([0, len(out)])
+
+
 def piece_lengths(length: int, max_len: int = MAX_LEN) -> list[int]:
     whole, rest = divmod(length, max_len)
     return [max_len] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -190,8 +229,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-        for b in W.pieces(batches, "_text"):
-            stream, at = encode(b.column(1), tokenizer)
+        for b in W.pieces(batches, "_text", SLICE_BYTES):
+            stream, at = (encode_long if b.num_rows == 1 else encode)(b.column(1), tokenizer)
             raw = memoryview(stream.astype("<u4").tobytes())
             rows = []
             for doc, a, z in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

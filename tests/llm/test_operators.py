@@ -264,6 +264,20 @@ def test_packing_tokens_of_random_strings():
         assert ids[at[i] : at[i + 1]].tolist() == [*e.ids, 1], texts[i]
 
 
+def test_packing_long_texts_by_slices(monkeypatch):
+    monkeypatch.setattr(op05_packing, "SLICE_BYTES", 40)
+    monkeypatch.setattr(op05_packing, "REMEMBERED", 8)
+    r = random.Random(4)
+    bits = ["'s", "'", " ", " ", "  ", "\n", "\t", "a", "words", "é", "12", ",", ".", "中", "\xa0", "it", "\x85", "\r\n", "😀"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 400))) for _ in range(300)] + ["x" * 500, " " * 500, "中" * 200, "", None]
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        cut = op05_packing.slices(data, 40)
+        assert [*(a for a, _ in cut), len(data)] == [0, *(z for _, z in cut)]
+        ids, at = op05_packing.encode_long(pa.array([text], pa.string()))
+        assert ids.tolist() == [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1] and at.tolist() == [0, len(ids)], text
+
+
 def test_decontamination(spark, docs, none):
     text = dict(DOCS)
     items = [(1, " ".join(text[100].split()[20:50])), (2, "one two"), (2, "one two"), (3, None), (4, "!!"), (5, "words that occur nowhere at all in any of these documents here"), (None, "aaa aaa"), (11, " ".join(text[9].split()[500:515])), (12, text[20])]
