@@ -5,10 +5,10 @@ to the smallest. Each piece is a sequence by itself: a power of two, so it needs
 documents. Sequence numbers rise by length (the bucket), so a bucket's sequences lie together.
 
 Text is tokenized whole. The tokenizer's byte-level pattern splits text into short parts that it encodes one by one, so
-the parts are found with numpy over a slice of texts, each distinct part is encoded once, and its ids are copied to all
-its places; equal hashes are verified byte for byte. Texts with characters outside the range for which the classes are
-certain go through the tokenizer itself. A text of more than a slice is cut where white space follows another sign, which
-always is between two parts, and its slices are encoded one by one: beyond a slice a worker holds a text and its ids.
+the parts are found with numpy over a slice of texts, a sign that no such text has is put before each, and one call of a
+byte-pair encoder takes the slice. Texts with characters outside the range for which the classes are certain go through
+the tokenizer itself. A text of more than a slice is cut where white space follows another sign, which always is between
+two parts, and its slices are encoded one by one: beyond a slice a worker holds a text and its ids.
 
 Defined results: null or empty text is the end id alone, one piece of length 1. Repeated rows are packed each. An empty
 table gives no pieces. The strings of special tokens are ordinary text. Other columns aren't read.
@@ -29,12 +29,12 @@ from . import words as W
 from .shared import saved
 
 MAX_LEN, END_ID = 2048, 1
-#: Distinct parts that a worker remembers: when the newer half is full, it becomes the older one and what was that goes.
-REMEMBERED = 200_000
 #: Text bytes encoded at once.
 SLICE_BYTES = 1 << 18
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 LIMIT = 0x250
+#: Put before each part. It is of no sure class, so no part has it.
+MARK = 0x1E
 #: ASCII that is seen: white space after it starts a part.
 SEEN = W.byte_table((0x21, 0x7E))
 
@@ -65,7 +65,7 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 def tokenizer_for(path: str | None):
-    """The tokenizer, a function for one part (None if the file's rules aren't those of part_starts), and its remembered parts, newer and older; loaded once by each worker."""
+    """The tokenizer, a function for marked parts (None if the file's rules aren't those of part_starts), and the mark's id; loaded once by each worker."""
     if path not in _state:
         import json
 
@@ -82,9 +82,8 @@ def tokenizer_for(path: str | None):
         found.encode_special_tokens = True
         with open(file, encoding="utf-8") as f:
             ranks = _ranks(json.load(f))
-        # parts are split already, so the pattern has to take each whole
-        one = tiktoken.Encoding("parts", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
-        _state[path] = (found, one, [{}, {}])
+        marked = tiktoken.Encoding("parts", pat_str=f"[^\\x{MARK:02x}]+|\\x{MARK:02x}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
+        _state[path] = (found, marked, ranks and ranks[bytes([MARK])])
     return _state[path]
 
 
@@ -121,67 +120,38 @@ def part_starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ids(part: bytes, one_part, known: list[dict[bytes, bytes]]) -> bytes:
-    newer, older = known
-    found = newer.get(part)
-    if found is None:
-        found = older.get(part)
-        if found is None:
-            found = np.array(one_part(part.decode()), dtype=np.uint32).tobytes()
-        if len(newer) >= REMEMBERED // 2:
-            known[:] = newer, _ = {}, newer
-        newer[part] = found
-    return found
-
-
 def encode(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts, each followed by end_id, and the n + 1 offsets of the texts."""
-    tokenizer, one_part, known = tokenizer_for(path)
+    tokenizer, marked, mark_id = tokenizer_for(path)
     data, at = W.text_view(texts)
     n = len(at) - 1
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
-    char_at = np.searchsorted(heads, at)
-    sure = np.concatenate([[0], np.cumsum(CLASSES[np.minimum(chars, LIMIT)] == UNSURE)])
-    plain = (sure[char_at[1:]] == sure[char_at[:-1]]) & (one_part is not None)
-    first = np.zeros(len(chars), bool)
-    first[char_at[:-1][np.diff(char_at) > 0]] = True
-    flags = part_starts(np.where(np.minimum(chars, LIMIT) == chars, chars, np.uint32(0x61)), first) if len(chars) else np.zeros(0, bool)
-    head = np.flatnonzero(flags)
-    text_of = np.searchsorted(char_at[1:], head, side="right")
-    starts = heads[head]
-    ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    own = plain[text_of]
-    starts, ends, text_of = starts[own], ends[own], text_of[own]
-    hashes = W.word_hashes(data, starts, ends)
-    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths = ends - starts
-    if len(starts):
-        offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        here, there = np.repeat(starts, lengths), np.repeat(starts[one][which], lengths)
-        same = (lengths == lengths[one][which]).all() and (data[here + offset] == data[np.minimum(there + offset, len(data) - 1)]).all()
-        if not same:  # two parts with one hash in this slice: encode all of its texts one by one
-            plain, starts, ends, text_of, one, which = np.zeros(n, bool), starts[:0], ends[:0], text_of[:0], one[:0], which[:0]
-    raw = data.tobytes()
-    parts = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-    coded = [_ids(p, one_part, known) for p in parts]
-    sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-    flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
-    places = np.cumsum(sizes) - sizes
-    count = sizes[which]
-    total = np.concatenate([[0], np.cumsum(count)])
-    stream = flat[np.repeat(places[which] - total[:-1], count) + np.arange(total[-1])] if len(which) else flat
-    length = np.bincount(text_of, weights=count, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
+    char_at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), at)
+    unsure = np.concatenate([[0], np.cumsum(CLASSES[np.minimum(chars, LIMIT)] == UNSURE)])
+    plain = (unsure[char_at[1:]] == unsure[char_at[:-1]]) & (marked is not None)
+    length = np.zeros(n, np.int64)
     odd = {}
     for i in np.flatnonzero(~plain).tolist():
-        odd[i] = np.array(tokenizer.encode(raw[at[i] : at[i + 1]].decode(), add_special_tokens=False).ids, dtype=np.uint32)
+        odd[i] = np.array(tokenizer.encode(data[at[i] : at[i + 1]].tobytes().decode(), add_special_tokens=False).ids, dtype=np.uint32)
         length[i] = len(odd[i])
+    stream = np.zeros(0, np.uint32)
+    own, own_chars = data[np.repeat(plain, np.diff(at))], chars[np.repeat(plain, np.diff(char_at))]
+    if len(own):
+        first = np.zeros(len(own_chars), bool)
+        sizes = np.diff(char_at) * plain
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        part = np.flatnonzero(part_starts(own_chars, first))
+        starts = np.flatnonzero((own & 0xC0) != 0x80)[part]
+        ids = np.array(marked(np.insert(own, starts, MARK).tobytes().decode()), dtype=np.uint32)
+        marks = np.flatnonzero(ids == mark_id)
+        count = np.diff(marks, append=len(ids)) - 1
+        length += np.bincount(np.searchsorted(np.cumsum(sizes), part, side="right"), weights=count, minlength=n).astype(np.int64)
+        stream = np.delete(ids, marks)
     id_at = np.concatenate([[0], np.cumsum(length + 1)])
     out = np.full(id_at[-1], end_id, dtype=np.uint32)
-    if len(stream):
-        text_first = np.concatenate([[0], np.cumsum(np.bincount(text_of, weights=count, minlength=n).astype(np.int64))])
-        owner = np.repeat(text_of, count)
-        out[np.arange(len(stream)) - text_first[owner] + id_at[owner]] = stream
+    own_length = length * plain
+    shift = id_at[:-1] - (np.cumsum(own_length) - own_length)
+    out[np.arange(len(stream)) + np.repeat(shift, own_length)] = stream
     for i, ids in odd.items():
         out[id_at[i] : id_at[i] + len(ids)] = ids
     return out, id_at

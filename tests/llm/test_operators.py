@@ -266,7 +266,6 @@ def test_packing_tokens_of_random_strings():
 
 def test_packing_long_texts_by_slices(monkeypatch):
     monkeypatch.setattr(op05_packing, "SLICE_BYTES", 40)
-    monkeypatch.setattr(op05_packing, "REMEMBERED", 8)
     r = random.Random(4)
     bits = ["'s", "'", " ", " ", "  ", "\n", "\t", "a", "words", "é", "12", ",", ".", "中", "\xa0", "it", "\x85", "\r\n", "😀"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 400))) for _ in range(300)] + ["x" * 500, " " * 500, "中" * 200, "", None]
