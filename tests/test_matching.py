@@ -95,6 +95,31 @@ def test_contested_pairs_follow_the_sequential_choice(spark):
         assert sorted((p["ledger"], p["warehouse"]) for p in pairs.values()) == model.composite(rows(ledger), rows(warehouse), tolerance, window)
 
 
+def test_possible_pairs_are_not_listed(spark):
+    """Rows of one day and amount could all be paired with each other; days with gaps, in several batches, follow the sequential choice."""
+    ledger, warehouse = side(spark, "ledger", [(None, 0, 100)] * 600), side(spark, "warehouse", [(None, 0, 100)] * 500)
+    found = matching.match_composite(ledger, warehouse, Settings())
+    assert "Join" not in found._jdf.queryExecution().toString()
+    pairs = {}
+    for m in found.collect():
+        pairs.setdefault(m.match_id, {})[m.source] = m.row_number
+    assert sorted((p["ledger"], p["warehouse"]) for p in pairs.values()) == [(i, i) for i in range(1, 501)]
+
+    r = random.Random(14)
+    make = lambda n: [(r.choice([None, "T"]), r.choice([0, 1, 2, 9, 12, 13, 30]), r.randint(-3, 3), "P", r.choice("AB"), r.choice(["USD", "EUR"])) for _ in range(n)]
+    ledger, warehouse = make(150), make(150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = matching.match_composite(side(spark, "ledger", ledger).repartition(3), side(spark, "warehouse", warehouse).repartition(5), Settings(timing_window_days=3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = {}
+    for m in found:
+        pairs.setdefault(m.match_id, {})[m.source] = m.row_number
+    rows = lambda own: [(i, x[0], x[4], DAY + datetime.timedelta(x[1]), x[2], x[5]) for i, x in enumerate(own, 1)]
+    assert sorted((p["ledger"], p["warehouse"]) for p in pairs.values()) == model.composite(rows(ledger), rows(warehouse), 1, 3)
+
+
 def test_legs_are_the_first_in_depth_first_order():
     r = random.Random(12)
     for _ in range(3000):
