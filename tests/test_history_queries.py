@@ -52,3 +52,12 @@ def test_history_of_all_types(spark):
         n, cents = sections.get((state, b.type), (0, 0))
         sections[state, b.type] = (n + 1, cents + (abs(b.magnitude_cents or 0) if b.level == "row" else 0))
     assert {tuple(r) for r in queries.QUERIES["history_sections"](spark, AT).collect()} == {(*k, *v) for k, v in sections.items()}
+
+
+def test_schema_drift_matches_no_rows(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("rows were matched")
+
+    monkeypatch.setattr(queries, "_made", {})
+    monkeypatch.setattr(queries.matching, "match_rows", never)
+    assert [(r.d_kind, r.d_column, r.d_ledger_type, r.d_warehouse_type) for r in queries.QUERIES["check_schema_drift"](spark, AT).collect()] == [("column_added", "batch_id", None, "string")]
