@@ -2,7 +2,10 @@
 
 from collections import Counter
 
+import pytest
+
 from tally_spark import queries
+from tally_spark.operators import history
 
 AT = "/root/testdata/sf0.001"
 
@@ -61,3 +64,19 @@ def test_schema_drift_matches_no_rows(spark, monkeypatch):
     monkeypatch.setattr(queries, "_made", {})
     monkeypatch.setattr(queries.matching, "match_rows", never)
     assert [(r.d_kind, r.d_column, r.d_ledger_type, r.d_warehouse_type) for r in queries.QUERIES["check_schema_drift"](spark, AT).collect()] == [("column_added", "batch_id", None, "string")]
+
+
+def broadcasts(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+
+def test_stable_keys_never_gather_breaks_on_the_driver(spark):
+    """These tables are far below the size up to which Spark broadcasts by itself."""
+    c = queries._context(spark, AT, "_2")
+    assert not broadcasts(history.stable_keys(queries._breaks(spark, AT, "_2"), c.ledger, c.warehouse))
+
+
+@pytest.mark.parametrize("name", ["history_diff"])
+def test_history_never_gathers_keys_on_the_driver(spark, name):
+    assert not broadcasts(queries.QUERIES[name](spark, AT))
