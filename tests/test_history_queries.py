@@ -77,6 +77,6 @@ def test_stable_keys_never_gather_breaks_on_the_driver(spark):
     assert not broadcasts(history.stable_keys(queries._breaks(spark, AT, "_2"), c.ledger, c.warehouse))
 
 
-@pytest.mark.parametrize("name", ["history_diff", "history_streaks", "history_age"])
+@pytest.mark.parametrize("name", ["history_diff", "history_streaks", "history_sections", "history_age"])
 def test_history_never_gathers_keys_on_the_driver(spark, name):
     assert not broadcasts(queries.QUERIES[name](spark, AT))
