@@ -80,3 +80,23 @@ def test_stable_keys_never_gather_breaks_on_the_driver(spark):
 @pytest.mark.parametrize("name", ["history_diff", "history_streaks", "history_sections", "history_age"])
 def test_history_never_gathers_keys_on_the_driver(spark, name):
     assert not broadcasts(queries.QUERIES[name](spark, AT))
+
+
+@pytest.mark.parametrize("day", ["", "_2"])
+def test_no_plan_of_the_driver_holds_all_checks(spark, monkeypatch, day):
+    """One plan of all checks, planned anew after each stage, took most of the driver's memory in the history queries."""
+    plans = spark._jsparkSession.sharedState().statusStore()
+    c = queries._context(spark, AT, day)
+    before = plans.executionsCount()
+    monkeypatch.setattr(queries, "_made", {k: v for k, v in queries._made.items() if not k[0].startswith(("breaks", "keyed"))})
+    found = queries._breaks(spark, AT, day)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    began = plans.executionsList(before, plans.executionsCount() - before)
+    texts = [began.apply(i).physicalPlanDescription() for i in range(began.size())]
+    kinds = ("missing_in_target", "duplicate AS type", "value_mismatch AS type", "control_total_mismatch AS type")
+    held = [[k for k in kinds if k in text] for text in texts]
+    assert {k for own in held for k in own} == set(kinds)
+    assert max(map(len, held)) == 1
+    whole = queries.breaks.identified(queries.checks.run_checks(c))
+    assert found.columns == whole.columns
+    assert Counter(map(str, found.collect())) == Counter(map(str, whole.collect()))
