@@ -6,6 +6,7 @@ import pytest
 
 from tally_spark import queries
 from tally_spark.operators import history
+from tally_spark.plans import store
 
 AT = "/root/testdata/sf0.001"
 
@@ -100,3 +101,15 @@ def test_no_plan_of_the_driver_holds_all_checks(spark, monkeypatch, day):
     whole = queries.breaks.identified(queries.checks.run_checks(c))
     assert found.columns == whole.columns
     assert Counter(map(str, found.collect())) == Counter(map(str, whole.collect()))
+
+
+def test_history_age_gives_memory_back_after_each_stage(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(queries, "_made", {})
+    monkeypatch.setattr(store, "give_back", lambda _: given.append(len(store._written)))
+    before = len(store._written)
+    ages = queries.QUERIES["history_age"](spark, AT)
+    assert ages.count() > 0
+    written = range(before + 1, len(store._written) + 1)
+    assert len(written) > 10
+    assert set(given) >= set(written)
